@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, secrets, sharding, simhash
 from .common import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"), counts[3])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -25,9 +32,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(documents(spark, sf_dir), keep=["doc_id"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_shards": op10_shards,
 }
 #: No SQL for the others: they are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
