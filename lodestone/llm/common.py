@@ -69,19 +69,15 @@ def shingle_hashes(df: DataFrame, text: str, to: str, n: int = SHINGLE_WORDS) ->
     Each word is hashed once, and a shingle's hash is that of its n word hashes. A text of fewer words has one shingle,
     of all of them; a text without words has none. Words are compared in lower case (A-Z only).
     """
-    h = f"__h_{to}"
-    last = ", ".join(f"{h}[i+{k}]" for k in range(n))
-    return (
-        df.withColumn(h, F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)))
-        .withColumn(
-            to,
-            F.expr(
-                f"case when size({h}) = 0 then cast(array() as array<bigint>) when size({h}) < {n} then array(xxhash64({h})) "
-                f"else transform(sequence(0, size({h}) - {n}), i -> xxhash64({last})) end"
-            ),
-        )
-        .drop(h)
-    )
+    # The word hashes are a lambda's variable, and so are made once however the optimizer moves the expression.
+    last = ", ".join(f"h[i+{k}]" for k in range(n))
+    return df.withColumn("__w", F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w))).withColumn(
+        to,
+        F.expr(
+            f"transform(array(__w), h -> case when size(h) = 0 then cast(array() as array<bigint>) when size(h) < {n} then array(xxhash64(h)) "
+            f"else transform(sequence(0, size(h) - {n}), i -> xxhash64({last})) end)[0]"
+        ),
+    ).drop("__w")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

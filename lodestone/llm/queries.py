@@ -8,17 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, simhash
+from . import bpe, decontam, fingerprints, secrets, sharding, simhash, toxicity
 from .common import documents
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"] != "entropy")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    counts = [F.size(F.expr(f"filter(secrets, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"), counts[3])
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.text_of(F.col("sketch")).alias("fingerprint"),
+        fingerprints.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -39,9 +62,12 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_fingerprints": op2_fingerprints,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_shards": op10_shards,
 }
 #: No SQL for the others: they are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontam": decontam.oracle()}
