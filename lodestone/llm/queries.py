@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, secrets, sharding, simhash, toxicity
+from . import bpe, decontam, fingerprints, secrets, sharding, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -32,6 +32,18 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("bytes"), "text"), keep=["doc_id", "bytes"])
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.coalesce("bytes", F.lit(0)).cast("long").alias("n_bytes"),
+        length.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     found = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
@@ -63,6 +75,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
