@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, decontam, fingerprints, language, secrets, sharding, simhash, suffix_dedup, toxicity, wordpiece
 from .common import documents
 
 
@@ -44,6 +44,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = language.page_parts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    model = language.fit(documents(spark, sf_dir))
+    evidence = {c: F.col(c) for c in ("host", "domain", "suffix", "declared")}
+    return language.identify(parts, model, **evidence, keep=["page_id", "host", "declared"])
+
+
+def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     found = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
@@ -76,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language": op4_language,
+    "op5_wordpiece": op5_wordpiece,
     "op6_toxicity": op6_toxicity,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,

@@ -121,16 +121,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return own.unionByName(probes).groupBy("s", "t").applyInPandas(compare, "u long, v long")
 
 
+def _classes(rows: DataFrame, key: str, radius: int, tile: int) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint: its least key and the least fingerprint that can be reached."""
+    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    found = components(links(nodes.select("fp"), radius, tile))
+    return nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(key, fp, component_id): component_id is the least key of the texts that can be reached by links.
 
-    Every row of the input has a row in the result, repeated keys included. A null key is kept and is the least key of
-    none: a component of null keys alone has component_id null. Empty and null texts have fingerprint 0 and are linked
-    as any other.
+    Every row of the input has a row in the result, repeated keys included. A null key is passed over as a least one: a
+    component of null keys alone has component_id null. Empty and null texts have fingerprint 0 and are linked as any
+    other.
     """
     rows = written(fingerprints(df, text, keep=[key]), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, tile))
-    linked = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _classes(rows, key, radius, tile)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    # A written table, so that both sides of the join are plain exchanges and the copies of one text can be split.
+    ids = written(linked.join(least, "root").select("fp", "component_id"), "classes")
+    return rows.join(ids, "fp").select(key, "fp", "component_id")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component: that of the least key (nulls last), and of the least fingerprint if several have it."""
+    rows = written(fingerprints(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__text", ["row", "__key"]), "fingerprints")
+    linked = _classes(rows.select(F.col("__key"), "fp"), "__key", radius, tile)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    chosen = written(linked.groupBy("root").agg(first.alias("c")).select(F.col("c.fp").alias("__fp"), F.col("c.least").alias("__least")), "chosen")
+    kept = rows.join(chosen, (F.col("fp") == F.col("__fp")) & F.col("__key").eqNullSafe(F.col("__least")), "left_semi")
+    return kept.dropDuplicates(["fp", "__key"]).select("row.*")
