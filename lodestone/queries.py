@@ -334,3 +334,38 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     pairs = d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
     return pairs.withColumn("g", guardrails.grounding(F.col("a"), F.col("s"))).select("item_id", "doc_id", "g.passed", F.round("g.confidence", 4).alias("confidence"))
+
+
+def corpus_index(spark: SparkSession, sf_dir: str):
+    from .plans.answer import Index
+
+    return Index.build(docs(spark, sf_dir), "fixed")
+
+
+@query()
+def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templated questions and benchmark passages through the whole plan."""
+    from .plans.answer import answer
+
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    made = asked(spark, sf_dir).groupBy("q").agg(F.min("conv_id").alias("c")).select((F.col("c") + 1_000_000).alias("query_id"), F.col("q").alias("query"))
+    out = answer(passages.unionByName(made), corpus_index(spark, sf_dir))
+    return out.select("query_id", "status", "reason", "grounded", "answer", F.round("confidence", 3).alias("confidence"), "sources")
+
+
+@query()
+def rerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the benchmark passages with features and final scores."""
+    from .plans.answer import candidates
+    from .plans.ranking import reranked
+
+    found = candidates(questions(spark, sf_dir).withColumnRenamed("text", "query"), corpus_index(spark, sf_dir))
+    return reranked(found)
+
+
+@query()
+def coverage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.answer import answer
+
+    made = asked(spark, sf_dir).groupBy("q").agg(F.min("conv_id").alias("query_id")).select("query_id", F.col("q").alias("query"))
+    return answer(made, corpus_index(spark, sf_dir)).select("query_id", "status", "reason", "entity_score", "coverage_score", "relevance")
