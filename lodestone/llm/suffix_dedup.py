@@ -7,7 +7,8 @@ two levels of one size merge into the next, so an index of n batches has no more
 rewritten log2(n) times. Merging reads sorted buckets side by side and moves nothing between machines.
 
 settle() judges the windows. A block that occurs twice is a repeat throughout; one whose anchor has no other block is
-unique throughout. Where one anchor has several blocks, their windows are compared one by one, by 128 bits of hash.
+unique throughout. Where one anchor has several blocks, their windows are compared,
+in pieces first and then, in pieces that share their core, one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .anchors import LENGTH, Hashes, blocks, mix, segments
 from .common import partitions, table_path
 
-GRAM, CHUNK, BATCHES = 100, 1 << 20, 4
+GRAM, CHUNK, BATCHES, PIECE = 100, 1 << 20, 2, 16
 #: A place is a first window, a number of windows and the anchor's distance, in one long.
 FIRST, COUNT = 1 << 24, 1 << 12
 
@@ -125,40 +126,52 @@ class SuffixIndex:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the doubtful blocks: two hashes, how often its block occurs, and where."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each PIECE windows in a row of the doubtful blocks, cut at multiples of PIECE before the anchor.
+
+    Two hashes tell the bytes that all windows of such a piece share, so pieces with a window in common have them in
+    common; w has a hash of each window.
+    """
     for batch in batches:
         rid = batch.column("rid").to_numpy()
-        out = []
+        out, held = [], 0
         for k in range(batch.num_rows):
-            text = np.frombuffer(batch.column("__bytes")[k].as_py(), dtype=np.uint8)
-            for d in batch.column("doubtful")[k].as_py():
-                first, count, off = d["place"] // FIRST, d["place"] % FIRST // COUNT, d["place"] % COUNT
-                h = Hashes(text[first : first + count - 1 + LENGTH])
-                at = np.arange(count)
-                one = h.of(at, at + LENGTH)
-                two = mix(one ^ np.uint64(d["a"] & (1 << 64) - 1)) + h.of(at + LENGTH // 2, at + LENGTH)
-                out.append((one.view(np.int64), two.view(np.int64), np.full(count, d["n"]), np.full(count, rid[k]), first + at))
-            if out and (sum(len(x[0]) for x in out) > 200_000 or k == batch.num_rows - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["w1", "w2", "n", "rid", "at"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["w1", "w2", "n", "rid", "at"])
-
-
-def removed(n: int, places: list[int] | None, singles: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs of a text of n bytes that repeats cover, from its unique blocks and unique windows."""
+            h = Hashes(np.frombuffer(batch.column("__bytes")[k].as_py(), dtype=np.uint8))
+            blocks_ = batch.column("doubtful")[k].as_py()
+            place = np.array([d["place"] for d in blocks_], dtype=np.int64)
+            a = np.array([d["a"] for d in blocks_], dtype=np.int64).view(np.uint64)
+            n = np.array([d["n"] for d in blocks_], dtype=np.int64)
+            count = place % FIRST // COUNT
+            block = np.repeat(np.arange(len(place)), count)
+            step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+            at = (place // FIRST)[block] + step
+            before = (place % COUNT)[block] - step
+            part = before // PIECE
+            new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (part[1:] != part[:-1])]))
+            late = at[new] + before[new] - part[new] * PIECE
+            end = late - (PIECE - 1) + LENGTH
+            c1 = h.of(late, end)
+            c2 = h.of(late + LENGTH // 2, end) ^ mix(a[block[new]] + part[new].astype(np.uint64))
+            out.append((c1.view(np.int64), c2.view(np.int64), n[block[new]], np.full(len(new), rid[k]), at[new], h.of(at, at + LENGTH).view(np.int64), np.diff(np.concatenate([new, [len(at)]]))))
+            held += len(at)
+            if held > 200_000 or k == batch.num_rows - 1:
+                c1, c2, n, r, first, w, size = (np.concatenate(x) for x in zip(*out, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(w))
+                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(n), pa.array(r), pa.array(first), lists], names=["c1", "c2", "n", "rid", "at", "w"])
+                out, held = [], 0
+
+
+def removed(n: int, *unique_places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of a text of n bytes that repeats cover, from the places of its unique windows."""
     windows = n - LENGTH + 1
     if windows <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     step = np.zeros(windows + 1, dtype=np.int64)
-    if places is not None and len(places):
-        p = np.asarray(places, dtype=np.int64)
-        np.add.at(step, p // FIRST, 1)
-        np.add.at(step, p // FIRST + p % FIRST // COUNT, -1)
+    for p in unique_places:
+        if p is not None and len(p):
+            np.add.at(step, p // FIRST, 1)
+            np.add.at(step, p // FIRST + p % FIRST // COUNT, -1)
     unique = np.cumsum(step[:-1]) > 0
-    if singles is not None and len(singles):
-        unique[np.asarray(singles, dtype=np.int64)] = True
     repeats = np.flatnonzero(~unique)
     if not len(repeats):
         return repeats, repeats
@@ -210,10 +223,16 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", keep: li
     for level in index.levels.values():
         index.drop(level)
     release(spark)
-    text_of = docs.select("rid", "__bytes")
-    judged = text_of.join(flags.filter(F.size("doubtful") > 0).select("rid", "doubtful").hint("merge"), "rid").mapInArrow(_windows, "w1 long, w2 long, n long, rid long, at long")
-    single = judged.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.first("rid").alias("rid"), F.first("at").alias("at")).filter("n = 1")
-    single = bucketed(single.repartition(n, "rid").groupBy("rid").agg(F.collect_list("at").alias("singles")), "rid", ["rid"], n)
+    pieces = docs.select("rid", "__bytes").join(flags.filter(F.size("doubtful") > 0).select("rid", "doubtful").hint("merge"), "rid")
+    pieces = pieces.mapInArrow(_pieces, "c1 long, c2 long, n long, rid long, at long, w array<long>").repartition(n, "c1")
+    pieces = pieces.withColumn("others", F.count("*").over(Window.partitionBy("c1", "c2")) - 1)
+    # A piece that shares its core with no other has unique windows, if its block occurs once; else they are compared.
+    alone = F.when(F.col("others") == 0, F.array(F.struct(F.lit(None).cast("long").alias("w"), F.col("at"), F.size("w").alias("k"))))
+    each = F.transform("w", lambda w, i: F.struct(w.alias("w"), (F.col("at") + i).alias("at"), F.lit(1).alias("k")))
+    windows = pieces.filter((F.col("others") > 0) | (F.col("n") == 1)).select("c1", "c2", "n", "rid", F.explode(F.coalesce(alone, each)).alias("e"))
+    windows = windows.groupBy("c1", "c2", "e.w").agg(F.sum("n").alias("n"), F.first("rid").alias("rid"), F.first(F.col("e.at") * FIRST + F.col("e.k") * COUNT).alias("place"))
+    single = windows.filter("n = 1").select("rid", "place").repartition(n, "rid").groupBy("rid").agg(F.collect_list("place").alias("singles"))
+    single = bucketed(single, "rid", ["rid"], n)
     release(spark)
     whole = docs.join(flags.select("rid", "sure").hint("merge"), "rid", "left").join(single.hint("merge"), "rid", "left").select("row", "__bytes", "sure", "singles")
     stripped = whole.mapInArrow(_strip(["row"]), f"row {docs.schema['row'].dataType.simpleString()}, removed array<struct<start:bigint,end:bigint>>, kept binary")
