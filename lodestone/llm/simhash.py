@@ -144,10 +144,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each component: that of the least key (nulls last), and of the least fingerprint if several have it."""
-    rows = written(fingerprints(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__text", ["row", "__key"]), "fingerprints")
-    linked = _classes(rows.select(F.col("__key"), "fp"), "__key", radius, tile)
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
-    chosen = written(linked.groupBy("root").agg(first.alias("c")).select(F.col("c.fp").alias("__fp"), F.col("c.least").alias("__least")), "chosen")
-    kept = rows.join(chosen, (F.col("fp") == F.col("__fp")) & F.col("__key").eqNullSafe(F.col("__least")), "left_semi")
-    return kept.dropDuplicates(["fp", "__key"]).select("row.*")
+    """One row of each component: that of the least key (nulls last), and of the least text hash if several have it.
+
+    Texts are exchanged once at most, for the join with the rows that stay; rows that repeat key and text are told
+    apart only where there are any.
+    """
+    same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    rows = written(fingerprints(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), F.col(f"`{text}`").alias("__text")), "__text", ["__key", "__same"]), "fingerprints")
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
+    linked = _classes(rows.select("__key", "fp"), "__key", radius, tile).select("fp", "root")
+    # Rows of a fingerprint are reduced before the join, so copies are not joined one by one.
+    least = rows.groupBy("fp").agg(first).join(linked, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = written(least.select(F.col("first.key").alias("__key"), F.col("first.same").alias("__same")), "chosen")
+    kept = df.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (same == F.col("__same")), "left_semi")
+    twice = rows.join(chosen, rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"]), "left_semi").groupBy("__key", "__same").count().filter("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.withColumn("__same", same).dropDuplicates([key, "__same"]).drop("__same")
