@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +49,14 @@ class Model:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """On the ROWS rows of each language with the least hash of the key; rows without a label or text are not used."""
+    """On about ROWS rows of each language, by the hash of the key; rows without a label or text are not used."""
     rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    least = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    # At most ROWS * LANGUAGES keys: small enough to send everywhere. The window keeps no more of each task's rows.
-    common = [r[label] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()]
-    sample = rows.filter(F.col(label).isin(common)).select(key, label).withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= ROWS)
-    there = rows.select(key, F.col(text).alias("__text")).join(F.broadcast(sample.select(key, F.col(label).alias("__label"))), key).select("__label", "__text")
+    common = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    # A share of each language's rows by the hash of their keys: no row has to be compared with another.
+    below = F.lit(None).cast("long")
+    for r in common:
+        below = F.when(F.col(label) == r[label], int((1 << 32) * min(1.0, ROWS / r["count"]))).otherwise(below)
+    there = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < below).select(F.col(label).alias("__label"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
