@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker keeps the tokens of at most this many pieces, none of them longer than KEPT_BYTES, and takes texts of about SLICE characters at once.
-KEPT, KEPT_BYTES, SLICE = 700_000, 48, 1 << 21
+KEPT, KEPT_BYTES, SLICE = 450_000, 48, 1 << 21
 
 
 #: The pattern for which there is a faster form.
