@@ -4,7 +4,7 @@ Documents come in batches. A batch's suffix array has one entry for each distinc
 anchor's string, the hash of the block, how often it occurs, and one place. It is a table sorted by anchor and block and
 bucketed by anchor. add() scans it together with the levels there are (entries of one anchor and block are repeats), and
 two levels of one size merge into the next, so an index of n batches has no more than log2(n) levels and each entry is
-rewritten log2(n) times. Merging reads sorted buckets side by side and moves nothing between machines.
+rewritten log2(n) times.
 
 settle() judges the windows. A block that occurs twice is a repeat throughout; one whose anchor has no other block is
 unique throughout. Where one anchor has several blocks, their windows are compared,
@@ -98,13 +98,23 @@ class SuffixIndex:
         size = 0
         while size in self.levels:
             old = self.levels.pop(size)
-            merged = bucketed(self._summed(old.union(new)), "a", ["a", "b"], self.buckets)
+            merged = bucketed(self._merged([old, new]), "a", ["a", "b"], self.buckets)
             self.drop(old)
             self.drop(new)
             release(self.spark)
             new, size = merged, size + 1
         self.levels[size] = new
 
+    def _merged(self, levels: list[DataFrame]) -> DataFrame:
+        if len(levels) == 1:
+            return levels[0]
+        # Each level passes a filter (n is never 0), so that the union reads rows: read in columns, its partitions would
+        # stand one after another although it says that buckets meet. The exchange is left out where they do meet.
+        both = levels[0].filter("n > 0")
+        for level in levels[1:]:
+            both = both.union(level.filter("n > 0"))
+        return self._summed(both.repartition(self.buckets, "a"))
+
     @staticmethod
     def _summed(entries: DataFrame) -> DataFrame:
         # first() takes both columns from one row; which row matters only for blocks that occur once.
@@ -112,12 +122,7 @@ class SuffixIndex:
 
     def scan(self) -> DataFrame:
         """All levels in one scan: (a, b, n, rid, place, others), others: the anchor's further blocks."""
-        levels = list(self.levels.values())
-        both = levels[0]
-        for level in levels[1:]:
-            both = both.union(level)
-        merged = self._summed(both) if len(levels) > 1 else both
-        return merged.withColumn("others", F.count("*").over(Window.partitionBy("a")) - 1)
+        return self._merged(list(self.levels.values())).withColumn("others", F.count("*").over(Window.partitionBy("a")) - 1)
 
     def drop(self, table: DataFrame) -> None:
         files = table.inputFiles()
