@@ -49,10 +49,16 @@ def normalize(c: Column, compose: bool = False) -> Column:
     return clean(F.regexp_replace(lower, rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE}]", " "))
 
 
+_plain = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
+
+
 def py_normalize(s: str) -> str:
     """normalize() with NFKC, for constants and small sets of candidates."""
+    if s.isascii():
+        return " ".join(s.lower().translate(_plain).split())
     composed = unicodedata.normalize("NFKC", s.lower())
-    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in composed).split())
+    kept = "".join(c if c.isalnum() or c.isspace() or unicodedata.category(c)[0] in "LMN" else " " for c in composed)
+    return " ".join(kept.split())
 
 
 def squeezed(normal: Column) -> Column:

@@ -177,11 +177,17 @@ def metadata(docs: DataFrame, size: int = 75, prefix: bool = True) -> DataFrame:
     whole = F.array(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body")))
     there = there.withColumn("__f", F.when(F.size("__f") == 0, whole).otherwise(F.col("__f")))
 
+    none = F.expr("cast(array() as array<struct<section:string,body:string,words:int>>)")
+
     def pieces(section: Column) -> Column:
-        words = _words(section["body"])
-        count = F.ceil(F.size(words) / size).cast("int")
-        parts = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(words, ((i - 1) * size + 1).cast("int"), size)))
-        return F.coalesce(F.transform(parts, lambda p: F.struct(section["title"].alias("section"), F.array_join(p, " ").alias("body"), F.size(p).alias("words"))), F.expr("cast(array() as array<struct<section:string,body:string,words:int>>)"))
+        # The words are a lambda's variable, so each piece is sliced from them and does not split the section again.
+        def cut(words: Column) -> Column:
+            count = F.ceil(F.size(words) / size).cast("int")
+            parts = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(words, ((i - 1) * size + 1).cast("int"), size))
+            made = F.transform(parts, lambda p: F.struct(section["title"].alias("section"), F.array_join(p, " ").alias("body"), F.size(p).alias("words")))
+            return F.when(count > 0, made).otherwise(none)
+
+        return F.get(F.transform(F.array(_words(section["body"])), cut), F.lit(0))
 
     cut = there.select("id", "ord", "title", "language", "source", "query", F.posexplode(F.flatten(F.transform("__f", pieces))).alias("chunk_index", "__p"))
     titled = F.when((F.col("__p.section") != "") & F.lit(prefix), F.concat(F.lit("["), F.col("__p.section"), F.lit("] "), F.col("__p.body"))).otherwise(F.col("__p.body"))

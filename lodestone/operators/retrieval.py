@@ -82,8 +82,12 @@ def bm25_build(chunks: DataFrame, column: str = "text", id_: str = "chunk_ord",
     stats = toks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(1.0)).alias("avgdl"))
     length = F.least(F.size("tokens"), F.lit(65_535)).alias("len")
     postings = toks.select(id_, length, F.explode("tokens").alias("term")).groupBy("term", id_).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return Bm25(postings, terms, stats)
+    return Bm25(postings, bm25_terms(postings, stats), stats)
+
+
+def bm25_terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf); stats is one row."""
+    return postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def bm25_search(index: Bm25, queries: DataFrame, column: str = "text", query: str = "query_id", id_: str = "chunk_ord", k: int = TOP_K, k1: float = K1, b: float = B, stop: list[str] = lexicons.BM25_STOP, compose: bool = False) -> DataFrame:

@@ -32,6 +32,21 @@ class Index:
         chunks = chunking.chunk(docs, strategy)
         return cls(docs, chunks, embedding.embed(chunks, keep=["chunk_ord"]), retrieval.bm25_build(chunks))
 
+    @classmethod
+    def create(cls, docs: DataFrame, path: str, strategy: str = "all") -> Index:
+        """Builds and stores an index. Chunks are written first, and all else is made of the stored ones."""
+        spark = docs.sparkSession
+        chunking.chunk(docs, strategy).write.mode("overwrite").partitionBy("strategy").parquet(f"{path}/chunks")
+        chunks = spark.read.parquet(f"{path}/chunks")
+        bm25 = retrieval.bm25_build(chunks)
+        bm25.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_ord").write.mode("overwrite").parquet(f"{path}/postings")
+        bm25.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        stats, postings = spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/postings")
+        retrieval.bm25_terms(postings, stats).write.mode("overwrite").parquet(f"{path}/terms")
+        embedding.embed(chunks, keep=["chunk_ord"]).write.mode("overwrite").parquet(f"{path}/vectors")
+        docs.write.mode("overwrite").parquet(f"{path}/docs")
+        return cls.load(spark, path, validate=False)
+
     def tables(self) -> dict[str, DataFrame]:
         return {"docs": self.docs, "chunks": self.chunks, "vectors": self.vectors, "postings": self.bm25.postings, "terms": self.bm25.terms, "stats": self.bm25.stats}
 

@@ -31,10 +31,13 @@ QUESTIONS = [
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     rows = [(k, i, k.title(), t, "en", "test", None) for i, (k, t) in enumerate(TEXTS.items())]
-    made = Index.build(spark.createDataFrame(rows, "id string, ord long, title string, text string, language string, source string, query string"))
-    path = str(tmp_path_factory.mktemp("index"))
-    made.save(path)
-    return Index.load(spark, path)
+    docs = spark.createDataFrame(rows, "id string, ord long, title string, text string, language string, source string, query string")
+    path, other = (str(tmp_path_factory.mktemp(n)) for n in ("index", "other"))
+    Index.build(docs).save(path)
+    made, stored = Index.load(spark, path), Index.create(docs, other)
+    for name, df in made.tables().items():
+        assert df.count() == stored.tables()[name].select(df.columns).count() > 0
+    return made
 
 
 def test_questions(spark, index):
