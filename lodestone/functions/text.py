@@ -7,6 +7,7 @@ form, as all here are, stay inside the JVM without it.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,6 +53,7 @@ def normalize(c: Column, compose: bool = False) -> Column:
 _plain = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
 
 
+@lru_cache(maxsize=20_000)
 def py_normalize(s: str) -> str:
     """normalize() with NFKC, for constants and small sets of candidates."""
     if s.isascii():

@@ -83,6 +83,9 @@ def stem(w: str) -> str:
     return w
 
 
+RELATION_STEMS = frozenset(map(stem, lexicons.RELATION_WORDS))
+
+
 class Evidence:
     """A normalised text, with and without its spaces."""
 
@@ -110,6 +113,11 @@ class Evidence:
         return sum(map(test, of)) / len(of) if of else 0.0
 
 
+@lru_cache(maxsize=4_000)
+def evidence(s: str) -> Evidence:
+    return Evidence(s)
+
+
 class Asked:
     """What can be told of a query by itself."""
 
@@ -157,7 +165,7 @@ class Candidate:
 
 
 def features(asked: Asked, c: Candidate) -> dict[str, float]:
-    e = Evidence(f"{c.title} {c.text} {c.parent_text[:1200]}")
+    e = evidence(f"{c.title} {c.text} {c.parent_text[:1200]}")
     title = frozenset(py_normalize(c.title).split(" "))
     pairs = list(zip(asked.tokens, asked.tokens[1:]))
     phrase = sum(f"{a} {b}" in e.normal for a, b in pairs) / len(pairs) if pairs else 0.8 * (len(asked.tokens) == 1 and asked.tokens[0] in e.words)
@@ -232,7 +240,7 @@ def coverage(asked: Asked, best: list[Candidate], least: float = 0.45) -> Verdic
     if not best:
         return no("no_retrieval_candidates", 0.0, "NO_CONTEXT")
     each = [f"{c.title} {c.parent_text or c.text}" for c in best]
-    e = Evidence(" ".join(each))
+    e = evidence(" ".join(each))
     if asked.type == "WEATHER" and not found(EVIDENCE["WEATHER"][0], py_normalize(best[0].parent_text or best[0].text)):
         return no("temporal_live_data_unavailable")
     if asked.entities:
@@ -246,7 +254,7 @@ def coverage(asked: Asked, best: list[Candidate], least: float = 0.45) -> Verdic
         subject = asked.subject(RELATION_SUBJECT)
         if not subject or not (e.has_token(subject) or e.has_entity(subject)):
             return no("missing_relation_subject")
-        if not any((x := Evidence(s)) and (x.has_token(subject) or x.has_entity(subject)) and found(RELATION_EVIDENCE, x.normal) for s in each):
+        if not any((x := evidence(s)) and (x.has_token(subject) or x.has_entity(subject)) and found(RELATION_EVIDENCE, x.normal) for s in each):
             return no("insufficient_relation_evidence")
     elif len(asked.tokens) <= 2:
         if asked.entities and entity == 1:
@@ -257,7 +265,7 @@ def coverage(asked: Asked, best: list[Candidate], least: float = 0.45) -> Verdic
         return no("insufficient_coverage", 0.10)
     if asked.type == "DEFINITION":
         subject = asked.subject(DEFINITION_SUBJECT)
-        told = subject and any(Evidence(s).has_token(subject) and found(DEFINITION_EVIDENCE, s) for x in each for s in re.split(r"[.!?।]+", x))
+        told = subject and any(evidence(s).has_token(subject) and found(DEFINITION_EVIDENCE, s) for x in each for s in re.split(r"[.!?।]+", x))
         if not told:
             return no("insufficient_definition_evidence")
     elif asked.type in EVIDENCE and asked.type != "WEATHER" and not found(EVIDENCE[asked.type][0], e.normal):
@@ -275,6 +283,10 @@ class Requirement:
     content: list[str]
     entities: list[str]
 
+    def __post_init__(self):
+        self.subjects = [t for t in self.entities if len(t) >= 2 and t not in EXTRACT_STOP]
+        self.stems = [(t, stem(t)) for t in self.content]
+
 
 def requirements(query: str) -> list[Requirement]:
     """The questions that a query asks, each with its intent."""
@@ -293,25 +305,45 @@ def requirements(query: str) -> list[Requirement]:
     return out
 
 
-def score_sentence(s: str, r: Requirement) -> float:
-    """How well a sentence answers one question."""
-    normal, words = py_normalize(s), tokens(s, EXTRACT_STOP)
-    if len(words) < 2:
+class Sentence:
+    """A sentence with what scoring asks of it."""
+
+    __slots__ = ("text", "normal", "words", "joined", "stems", "related", "defines")
+
+    def __init__(self, s: str):
+        self.text, self.normal = s, py_normalize(s)
+        self.words = frozenset(w for w in self.normal.split(" ") if len(w) >= 2 and w not in EXTRACT_STOP)
+        self.joined = " ".join(self.words)
+        self.stems = frozenset(map(stem, self.words))
+        self.related = not RELATION_STEMS.isdisjoint(self.stems) or any(w in self.normal for w in lexicons.RELATION_WORDS)
+        self.defines = bool(found(SENTENCE_DEFINITION, self.normal))
+
+    def matches(self, token: str, token_stem: str) -> bool:
+        return token_stem in self.stems or token in self.joined or any(w in token for w in self.words)
+
+
+@lru_cache(maxsize=2_000)
+def sentences_of(passage: str) -> tuple[Sentence, ...]:
+    """Kept for the passages met lately, as queries of a batch share them."""
+    return tuple(Sentence(s) for s in (x.strip() for x in _sentence.findall(passage)) if len(s) >= 8)
+
+
+def score_sentence(s: str | Sentence, r: Requirement) -> float:
+    """How well a sentence answers one question. Fewer than two content words answer nothing."""
+    s = Sentence(s) if isinstance(s, str) else s
+    if s.joined.count(" ") < 1 and sum(len(w) >= 2 and w not in EXTRACT_STOP for w in s.normal.split(" ")) < 2:
         return 0.0
-    subjects = [t for t in r.entities if len(t) >= 2 and t not in EXTRACT_STOP]
-    there = any(t in normal for t in subjects)
+    there = any(t in s.normal for t in r.subjects)
     for one, other in RIVALS:
         for mine, theirs in ((one, other), (other, one)):
-            if not there and mine & set(subjects) and any(t in normal for t in theirs):
+            if not there and not mine.isdisjoint(r.subjects) and any(t in s.normal for t in theirs):
                 return 0.0
-    stems = {stem(w) for w in words}
-    hits = sum(stem(t) in stems or any(t in w or w in t for w in words) for t in r.content)
-    score = 5 * there + 1.2 * hits + 2 * sum(len(t) >= 2 and t in normal for t in r.entities)
+    hits = sum(s.matches(t, u) for t, u in r.stems)
+    score = 5 * there + 1.2 * hits + 2 * sum(len(t) >= 2 and t in s.normal for t in r.entities)
     if r.intent == "RELATION":
-        related = any(w in normal or stem(w) in stems for w in lexicons.RELATION_WORDS)
-        score += (5 if related else -2) - 5 * (not there)
+        score += (5 if s.related else -2) - 5 * (not there)
     elif r.intent == "DEFINITION":
-        score += 3 * bool(found(SENTENCE_DEFINITION, normal)) - 4 * (not there)
+        score += 3 * s.defines - 4 * (not there)
     elif r.intent == "GENERAL":
         score += 4 * there + 0.8 * hits
     return max(0.0, score)
@@ -328,21 +360,19 @@ class Answer:
 def extract(asked: Asked, chunks: list[Candidate], least: float = 2.0, most: int = 4) -> Answer:
     """Sentences of the candidates' passages, the best for each question, in the order of the passages."""
     seen: set[str] = set()
-    rows: list[tuple[int, int, str, Candidate]] = []
+    rows: list[tuple[int, int, Sentence, Candidate]] = []
     for rank, c in enumerate(chunks[:8]):
-        passage = c.parent_text if len(c.parent_text) > len(c.text) else c.text
-        for k, s in enumerate(x.strip() for x in _sentence.findall(passage)):
-            n = py_normalize(s)
-            if len(s) >= 8 and n not in seen:
-                seen.add(n)
+        for k, s in enumerate(sentences_of(c.parent_text if len(c.parent_text) > len(c.text) else c.text)):
+            if s.normal not in seen:
+                seen.add(s.normal)
                 rows.append((rank, k, s, c))
     content = tokens(asked.raw, EXTRACT_STOP)
     if 1 <= len(content) <= 4 and not any(w in asked.normal for w in ("what", "who", "where", "when", "why", "how", "which", "define", "explain", "क्या", "कौन", "कहाँ", "कब", "क्यों", "कैसे")):
         r = Requirement(asked.raw, "GENERAL", content, asked.normal.split(" "))
-        scored = [(score_sentence(s, r) + 0.2 * (rank == 0), -rank, -k, s, c) for rank, k, s, c in rows if all(t in py_normalize(s) for t in content) or any(t in py_normalize(s) for t in asked.subjects)]
+        scored = [(score_sentence(s, r) + 0.2 * (rank == 0), -rank, -k, s, c) for rank, k, s, c in rows if all(t in s.normal for t in content) or any(t in s.normal for t in asked.subjects)]
         best = max(scored, key=lambda x: x[:3], default=None)
         if best and best[0] > 0:
-            return Answer(best[3], best[4].text, min(0.96, max(0.65, best[0] / 10)), 1.0)
+            return Answer(best[3].text, best[4].text, min(0.96, max(0.65, best[0] / 10)), 1.0)
     asks, chosen, total = requirements(asked.raw), {}, 0.0
     met = 0
     for r in asks:
@@ -357,13 +387,13 @@ def extract(asked: Asked, chunks: list[Candidate], least: float = 2.0, most: int
         if best and best[0] >= least:
             met += 1
             total += best[0]
-            chosen[py_normalize(best[3])] = best[1:]
+            chosen[best[3].normal] = best[1:]
     share = met / len(asks)
     if not chosen or share < 0.5:
         return Answer(REFUSAL, "", 0.1, share)
     picked = sorted(chosen.values(), key=lambda x: x[:2])[:most]
     source = picked[0][3].parent_text or picked[0][3].text
-    return Answer(" ".join(x[2] for x in picked), source, min(0.97, max(0.45, total / (8 * len(asks)) * share)), share)
+    return Answer(" ".join(x[2].text for x in picked), source, min(0.97, max(0.45, total / (8 * len(asks)) * share)), share)
 
 
 def settle(verdict: Verdict, answer: Answer, grounded: bool) -> tuple[str, bool, float]:
