@@ -128,7 +128,7 @@ def hash_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("token", embedding.hash32(F.col("token"), embedding.TOKEN_SEED).alias("h1"), embedding.hash32(F.col("token"), embedding.SIGN_SEED).alias("h2"))
 
 
-@query(f"with {FIXED} select chunk_ord, 128 as dim, 1.0 as norm from fixed where regexp_matches(text, '[\\p{{L}}\\p{{N}}]')")
+@query(f"with {FIXED} select chunk_ord, 128 as dim, cast(1 as double) as norm from fixed where regexp_matches(text, '[\\p{{L}}\\p{{N}}]')")
 def embed_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = embedding.embed(chunking.fixed(docs(spark, sf_dir)), keep=["chunk_ord"])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -274,7 +274,11 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.expand(asked(spark, sf_dir), "q", SMALL, {}).select("conv_id", "turn", "expanded")
 
 
-@query()
+NAMES = rf"""list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({sql_strip('q')}, '[{S}]+'), lambda w: regexp_replace(regexp_replace(w, '(?i)[''’]s$', ''), '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g')), lambda w: length(w) >= 3 and regexp_matches(w, '^[A-Z]')), lambda w: lower(w)), lambda w: not list_contains({quoted(guardrails.NO_ENTITY)}, w))"""
+KNOWN = f"list_filter({quoted([*lexicons.COMPOUND_ENTITIES, *lexicons.SINGLE_ENTITIES])}, lambda e: contains(n, e))"
+
+
+@query(f"with {ASKED}, b as (select conv_id, turn, q, {NORMAL.format('q')} as n from a), d as (select *, {KNOWN} as k, {NAMES} as c from b) select conv_id, turn, array_to_string(list_reduce(list_prepend(k, list_transform(c, lambda w: [w])), lambda got, w: case when len(list_filter(got, lambda g: contains(g, w[1]))) > 0 then got else list_append(got, w[1]) end), '|') as entities from d")
 def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("conv_id", "turn", F.array_join(guardrails.entities(F.col("q")), "|").alias("entities"))
 
