@@ -30,7 +30,7 @@ GENERIC_TERMS = ["body", "body part", "body parts", "part", "parts", "thing", "t
 AUTHORSHIP = """created create creator creates creating invent invented inventor invents inventing implement implemented implementation implements
 implementing develop developed developer develops developing design designed designer designs designing found founded founder founds founding
 establish established establishment build built builder author authored publish published propose proposed start started""".split()
-COMPOUND_ENTITIES = ["hacker house goa", "hacker house", "tamil nadu", "uttar pradesh", "madhya pradesh", "himachal pradesh", "andhra pradesh",
+COMPOUND_ENTITIES = ["tamil nadu", "uttar pradesh", "madhya pradesh", "himachal pradesh", "andhra pradesh",
     "arunachal pradesh", "west bengal", "jammu and kashmir", "vasco da gama", "vikram sarabhai", "indus valley", "arabian sea", "western ghats",
     "eastern ghats", "mariana trench", "sahara desert", "amazon river", "mount everest", "mohenjo daro", "operation vijay", "ऑपरेशन विजय"]
 SINGLE_ENTITIES = """haryana goa isro delhi punjab karnataka maharashtra kerala gujarat rajasthan bihar bengal india hnsw bm25 rrf sarabhai
