@@ -128,3 +128,31 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         f"concat(array_join(transform(__m, (s, i) -> concat(substring(`{text}`, case when i = 0 then 1 else __m[i-1].end + 1 end, s.start - case when i = 0 then 0 else __m[i-1].end end), {_quoted(mark)})), ''), substring(`{text}`, element_at(__m, -1).end + 1))"
     )
     return there.withColumn(text, F.when(F.size("__m") > 0, parts).otherwise(F.col(f"`{text}`"))).drop("__m")
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL; windows are counted anew at each place."""
+    q = _literal
+    table = "[" + ", ".join(str(weight(c)) for c in range(WINDOW + 1)) + "]"
+    # RE2 has no back references: one character over and over is told by removing it.
+    allowed = " or ".join(f"regexp_matches(x, {q(p)})" for p in ALLOWED if r"\1" not in p) + " or replace(x, x[1], '') = ''"
+    limit = "case " + " ".join(f"when regexp_matches(x, {q(p)}) then {most(bits)}" for p, bits in CLASSES[:-1]) + f" else {most(CLASSES[-1][1])} end"
+    kinds = [("assign", 0, ASSIGN), ("access", 1, ACCESS), ("hex", 2, HEX), ("entropy", 3, CANDIDATE)]
+    found = " union all ".join(
+        f"select doc_id, '{k}' as kind, {o} as o, regexp_extract_all(t, {q(p)}, 0) as f, string_split_regex(t, {q(p)}) as p, regexp_extract_all(t, {q(p)}, {2 if k == 'assign' else 0}) as v from t" for k, o, p in kinds
+    )
+    hot = f"list_filter(range(0, length(x) - {WINDOW} + 1), lambda i: list_sum(list_transform(map_values(list_histogram(string_split(x[i + 1:i + {WINDOW}], ''))), lambda c: {table}[cast(c + 1 as bigint)])) <= lim)"
+    return f"""with t as (select doc_id, coalesce(text, '') as t from documents), m as ({found}),
+        s as (select doc_id, kind, o, f[i] as x, v[i] as v, list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) as start from (select *, unnest(range(1, len(f) + 1)) as i from m)),
+        base as (select doc_id, kind, o, cast(start as bigint) as start, cast(start + length(x) as bigint) as stop from s where kind <> 'entropy' and (kind <> 'assign' or length(v) >= {MIN_VALUE})),
+        c as (select doc_id, x, start, {limit} as lim from s where kind = 'entropy' and not ({allowed})),
+        h as (select doc_id, start, {hot} as w from c),
+        e as (select doc_id, 'entropy' as kind, 3 as o, cast(start + list_min(w) as bigint) as start, cast(start + list_max(w) + {WINDOW} as bigint) as stop from h where len(w) > 0),
+        every as (select * from base union all select e.* from e where not exists (select 1 from base b where b.doc_id = e.doc_id and b.start < e.stop and e.start < b.stop)),
+        g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, count(*) filter (kind = 'entropy') as n_entropy,
+            string_agg(kind || ':' || start || ':' || stop, ',' order by start, o) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, o) filter (kind <> 'entropy') as basis from every group by 1)
+        select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_entropy, 0) as n_entropy, coalesce(spans, '') as spans, sha256(coalesce(basis, '')) as base_sha256 from t left join g using (doc_id)"""
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
