@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker keeps the tokens of at most this many pieces, none of them longer than KEPT_BYTES, and takes texts of about SLICE characters at once.
-KEPT, KEPT_BYTES, SLICE = 450_000, 48, 1 << 21
+KEPT, KEPT_BYTES, SLICE = 640_000, 48, 1 << 20
+#: Marks for pieces met before, by their hash.
+SEEN = 1 << 22
 
 
 #: The pattern for which there is a faster form.
@@ -50,7 +52,7 @@ class MergeReplay:
 
     def pair(self, key: int) -> int:
         """The rank of the token that two make, or -1; key has both."""
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         found = self.pairs[key] = self.ranks.get(self.token[key >> 24] + self.token[key & 0xFFFFFF], -1)
         return found
@@ -149,6 +151,8 @@ class TextEncoder:
         self.ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall if pattern == GPT2 else self.any
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # Most pieces come once: only those that come again are kept.
+        self.seen, self.marks = bytearray(SEEN), 0
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """An array of ids for each text. Pieces are numbered within the call, so that all else is done on whole arrays."""
@@ -167,7 +171,7 @@ class TextEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.young) > KEPT // 2:
             self.old, self.young = self.young, {}
-        known, old = self.young, self.old
+        known, old, seen = self.young, self.old, self.seen
         new = []
         for p in pieces:
             if p not in known:
@@ -175,12 +179,19 @@ class TextEncoder:
                     known[p] = old[p]
                 else:
                     new.append(p)
+        fresh = {}
         for p, ids in zip(new, self.replay.replay([p.encode() for p in new]), strict=True):
-            known[p] = array("i", ids).tobytes()
-        out = list(map(known.__getitem__, pieces))
+            fresh[p] = array("i", ids).tobytes()
+        out = [known[p] if p in known else fresh[p] for p in pieces]
         for p in new:
-            if len(p) > KEPT_BYTES:
-                del known[p]
+            at = hash(p) & (SEEN - 1)
+            if not seen[at]:
+                seen[at] = 1
+                self.marks += 1
+            elif len(p) <= KEPT_BYTES:
+                known[p] = fresh[p]
+        if self.marks > SEEN // 2:
+            self.seen, self.marks = bytearray(SEEN), 0
         return out
 
 
@@ -227,37 +238,48 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ids. keep: the columns that stay, all unless given (columns not kept are not sent to Python)."""
-    keep = [c for c in df.columns if c != "ids"] if keep is None else keep
+def _bytes_of(ids: pa.ListArray, token: pa.Array) -> pa.Array:
+    """The bytes of each row of ids. The tokens stand one after another in one buffer: only the rows' ends are left to say."""
+    ends = np.asarray(ids.offsets)
+    flat = token.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+    edges = np.frombuffer(flat.buffers()[1], dtype=np.int32, count=len(flat) + 1)[ends - ends[0]]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(edges)), flat.buffers()[2]])
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:
+    """Adds ids; back: and decoded, decoded from them by the same worker, which saves a second one for each task.
+
+    keep: the columns that stay, all unless given (columns not kept are not sent to Python).
+    """
+    made = ["ids", "decoded"] if back else ["ids"]
+    keep = [c for c in df.columns if c not in made] if keep is None else keep
     there = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary, pattern)
+        token = _tokens(vocabulary) if back else None
         for batch in batches:
-            at, rest, texts = 0, batch.select(keep), batch.column("__text")
-            for part in _slices(texts):
-                yield _with(rest.slice(at, len(part)), "ids", enc.encode(part))
+            at, rest = 0, batch.select(keep)
+            for part in _slices(batch.column("__text")):
+                ids = enc.encode(part)
+                out = _with(rest.slice(at, len(part)), "ids", ids)
+                yield _with(out, "decoded", _bytes_of(ids, token)) if back else out
                 at += len(part)
 
-    return there.mapInArrow(run, _schema(there.drop("__text"), "ids", T.ArrayType(T.IntegerType())))
+    schema = _schema(there.drop("__text"), "ids", T.ArrayType(T.IntegerType()))
+    return there.mapInArrow(run, schema.add("decoded", T.BinaryType()) if back else schema)
 
 
 def decode(df: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
     """Adds decoded, the concatenated bytes of ids."""
     keep = [c for c in df.columns if c != "decoded"] if keep is None else keep
-    there = df.select(*[F.col(f"`{c}`") for c in keep], F.col("ids").alias("__ids"))
+    there = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids = batch.column("__ids").slice(at, 256).fill_null([]) if batch.column("__ids").null_count else batch.column("__ids").slice(at, 256)
-                ends = np.asarray(ids.offsets)
-                flat = token.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
-                # The tokens stand one after another in one buffer already: only their ends by text are left to say.
-                edges = np.frombuffer(flat.buffers()[1], dtype=np.int32, count=len(flat) + 1)[ends - ends[0]]
-                made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(edges)), flat.buffers()[2]])
-                yield _with(batch.select(keep).slice(at, 256), "decoded", made)
+                part = batch.slice(at, 256)
+                yield _with(part.select(keep), "decoded", _bytes_of(part.column("__ids"), token))
 
     return there.mapInArrow(run, _schema(there.drop("__ids"), "decoded", T.BinaryType()))

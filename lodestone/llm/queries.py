@@ -72,10 +72,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"])
-    n, text = F.size("ids").cast("long").alias("n_tokens"), F.array_join(F.col("ids").cast("array<string>"), " ")
-    there = bpe.decode(ids.select("doc_id", n, F.sha2(text, 256).alias("ids_sha256"), "ids"), path, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return there.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    there = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"], back=True)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return there.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 #: No SQL for the others: they are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op7_decontam": decontam.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": secrets.oracle(), "op7_decontam": decontam.oracle()}
