@@ -173,6 +173,8 @@ def test_bpe_as_the_library_and_back(spark, docs, odd):
     encoded = bpe.encode(df, BYTE_BPE, P.PATTERN)
     for r in bpe.decode(encoded, BYTE_BPE).collect():
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    for r in bpe.encode(odd, BYTE_BPE, P.PATTERN, back=True).collect():
+        assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(odd, BYTE_BPE, P.PATTERN).columns == [c for c in odd.columns if c != "ids"] + ["ids"]
     assert bpe.decode(spark.sql("select cast(null as array<int>) as ids"), BYTE_BPE).first().decoded == b""
     assert bpe.encode(odd.limit(0), BYTE_BPE, P.PATTERN).count() == 0
