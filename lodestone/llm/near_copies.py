@@ -1,0 +1,114 @@
+"""Near copies by their words: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+MinHash only proposes: texts that agree in one of BANDS bands of ROWS minima are put into one group, and so on along chains.
+A pair at the threshold agrees in no band with a chance of (1 - 0.8**6)**40, about 5e-6. Within a group all pairs are
+compared by their exact shingle sets, in tiles of at most TILE texts, and only pairs that pass are linked. A tile hands on
+a spanning forest of its links. Texts of equal sets are one node throughout.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
+
+from .common import SHINGLE_WORDS, written
+from .components import components
+from .simhash import SEED, _forest, least_rows
+
+#: The similarity is PART / WHOLE.
+PART, WHOLE = 4, 5
+BANDS, ROWS, TILE = 40, 6, 1024
+_MADE = np.random.default_rng(SEED)
+FACTORS = _MADE.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MIX = _MADE.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the text's distinct 5-word shingles, sorted. A text of fewer words has one, a text without words none."""
+    words = text.lower().split()
+    if len(words) <= SHINGLE_WORDS:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    n = len(words) - SHINGLE_WORDS + 1
+    return np.unique(np.fromiter((xxh64_intdigest(b"%b %b %b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:], words[3:], words[4:])), dtype=np.uint64, count=n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima; nothing for an empty set."""
+    if not len(hashes):
+        return np.array([], dtype=np.int64)
+    high, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(high), 4096):
+        np.minimum(least, (FACTORS * high[None, at : at + 4096]).min(axis=1), out=least)
+    return (least.reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similar(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (as arrays of first and second) of the sets at the similarity, by the places where each shingle occurs."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner, (_, code) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    held, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    for i, end in enumerate(np.cumsum(sizes)):
+        mine = code[end - sizes[i] : end]
+        n = starts[mine + 1] - starts[mine]
+        places = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(held[places], minlength=len(sets))
+        # shared / (a + b - shared) >= PART / WHOLE, in whole numbers.
+        other = np.flatnonzero((shared > 0) & ((PART + WHOLE) * shared >= PART * (sizes + sizes[i])))
+        other = other[other > i]
+        yield np.full(len(other), i), other
+
+
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.drop_duplicates("node")
+    node = group["node"].to_numpy()
+    edges = np.array(_forest(len(node), similar([shingles(t) for t in group["text"]])), dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": node[edges[:, 0]], "v": node[edges[:, 1]]})
+
+
+def _signed(df: DataFrame) -> DataFrame:
+    """__key, __same, node (a hash of the shingle set) and bands of rows (__key, __same, __text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py()) for x in batch.column("__text")]
+            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            found = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__same"), pa.array(node), found], names=["__key", "__same", "node", "bands"])
+
+    kept = [f for f in df.schema.fields if f.name != "__text"]
+    return df.mapInArrow(run, T.StructType(kept).add("node", T.LongType()).add("bands", T.ArrayType(T.LongType())))
+
+
+def groups(nodes: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that share a band with others, directly or along a chain. nodes: node, bands."""
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    least = written(each.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "bands")
+    found = components(each.join(least, "band").filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row of each component of near copies, as simhash.representatives. Texts without words are copies of each other."""
+    same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
+    rows = written(_signed(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("__text"))), "signatures")
+    nodes = written(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min("__same").alias("__same")), "nodes")
+    near = written(groups(nodes.select("node", "bands")), "groups")
+    # One text of each node goes to the tiles of its group.
+    tiles = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    asked = near.join(tiles, "root").join(nodes.select("node", "__same"), "node")
+    asked = written(asked.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.col("__same").alias("__asked")), "asked")
+    texts = df.select(same.alias("__same"), raw.alias("text")).join(asked, F.col("__same") == F.col("__asked")).dropDuplicates(["node"])
+    dealt = texts.select("node", "text", "root", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("t"))
+    dealt = dealt.select("node", "text", "root", F.least("tile", "t").alias("one"), F.greatest("tile", "t").alias("other"))
+    linked = components(dealt.groupBy("root", "one", "other").applyInPandas(_compare, "u long, v long"))
+    found = nodes.select("node").join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"))
+    return least_rows(df, rows.select("__key", "__same", F.col("node").alias("fp")), found, key, same)

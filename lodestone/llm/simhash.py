@@ -151,8 +151,13 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """
     same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     rows = written(fingerprints(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), F.col(f"`{text}`").alias("__text")), "__text", ["__key", "__same"]), "fingerprints")
-    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
     linked = _classes(rows.select("__key", "fp"), "__key", radius, tile).select("fp", "root")
+    return least_rows(df, rows, linked, key, same)
+
+
+def least_rows(df: DataFrame, rows: DataFrame, linked: DataFrame, key: str, same: Column) -> DataFrame:
+    """The row of df of each root that representatives() keeps. rows: __key, __same, fp; linked: fp, root."""
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
     # Rows of a fingerprint are reduced before the join, so copies are not joined one by one.
     least = rows.groupBy("fp").agg(first).join(linked, "fp").groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(least.select(F.col("first.key").alias("__key"), F.col("first.same").alias("__same")), "chosen")
