@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; n_chars follows."""
-    there = secrets.redact(secrets.scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")))
+    there = secrets.redact(secrets.scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), whole=True))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull() & (F.size("secrets") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))}
     return there.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 

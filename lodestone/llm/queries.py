@@ -13,7 +13,7 @@ from .common import documents
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     base = F.filter("secrets", lambda s: s["kind"] != "entropy")
     counts = [F.size(F.expr(f"filter(secrets, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"), counts[3])

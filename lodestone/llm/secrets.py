@@ -34,6 +34,11 @@ ALLOWED = (
     r"^[A-Za-z]{1,16}([-_/=][A-Za-z]{0,16})+\z",
     r"^[-_=+/]+",
 )
+#: For scan(whole=True): what suppresses the windows that it is in, but not the rest of the candidate; and candidates, or
+#: pieces of them, that are passed over whole: those above but for the first two, separator lines, and paths of short plain segments.
+PLACEHOLDERS = r"(?i)example|placeholder|sample|changeme|dummy|redacted|xxxx|abcdefghij|0123456789|1234567890"
+_SEGMENT = "(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,16})[0-9]{0,4}|[0-9]{1,4})"
+PASSED = (*ALLOWED[2:5], r"^[-_=+/]+\z", rf"^[-_=+/]+{_SEGMENT}(?:[-_=+/]+{_SEGMENT})*[-_=+/]*\z")
 SCALE = 1 << 20
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -86,10 +91,19 @@ def _hot(candidate: str, limit: str) -> str:
             st -> case when st.start >= 0 then named_struct('start', st.start, 'end', st.end) end)))"""
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
+def _pieces(z: str) -> str:
+    """SQL of the parts (x, at) of the candidate z between placeholders."""
+    q = _quoted(PLACEHOLDERS)
+    return f"""aggregate(array(named_struct('p', split({z}.x, {q}, -1), 'f', regexp_extract_all({z}.x, {q}, 0))), cast(array() as array<struct<x:string,at:int>>),
+        (none, y) -> transform(y.p, (x, k) -> named_struct('x', x, 'at', {z}.at
+            + aggregate(slice(y.p, 1, k), 0, (n, v) -> n + length(v)) + aggregate(slice(y.f, 1, k), 0, (n, v) -> n + length(v)))))"""
+
+
+def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """Adds secrets: array of (kind, start, end), by start, then kind as in KINDS.
 
     Entropy spans that overlap one of the other kinds are left out. A column secrets of the input is replaced.
+    whole: placeholders suppress only the windows that they are in, and a leading separator suppresses nothing (PASSED).
     """
     there = df.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
@@ -97,9 +111,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     q = _quoted(ASSIGN)
     there = there.withColumn("__v", F.expr(f"case when size(__f_assign) > 0 then regexp_extract_all(__t, {q}, 2) end"))
     there = there.withColumn("__s_assign", F.expr(f"filter(__s_assign, (s, i) -> length(__v[i]) >= {MIN_VALUE})"))
-    kept = " and ".join(f"not x rlike {_quoted(p)}" for p in ALLOWED)
+    kept = " and ".join(f"not x rlike {_quoted(p)}" for p in (PASSED if whole else ALLOWED))
     limit = "case " + " ".join(f"when z.x rlike {_quoted(p)} then {most(bits)}L" for p, bits in CLASSES[:-1]) + f" else {most(CLASSES[-1][1])}L end"
     there = there.withColumn("__c", F.expr(f"filter(zip_with(__f_entropy, __s_entropy, (x, s) -> case when {kept} then named_struct('x', x, 'at', s.start) end), z -> z is not null)"))
+    if whole:
+        there = there.withColumn("__c", F.expr(f"filter(flatten(transform(__c, z -> {_pieces('z')})), z -> length(z.x) >= {WINDOW} and {kept.replace('x rlike', 'z.x rlike')})"))
     there = there.withColumn("__h", F.expr(f"filter(transform(__c, z -> named_struct('at', z.at, 'hot', {_hot('z.x', limit)})), w -> w.hot is not null)"))
     parts = [f"transform(__s_{k}, s -> named_struct('start', s.start, 'o', {o}, 'end', s.end))" for o, k in enumerate(KINDS[:3])]
     there = there.withColumn("__b", F.expr(f"concat({', '.join(parts)})"))

@@ -1,0 +1,49 @@
+"""Secrets that a leading separator or a placeholder beside them must not hide, in op1 and in the pipeline."""
+
+import hashlib
+
+import corpus_pipeline
+import pytest
+
+from lodestone.llm import queries, secrets
+
+RANDOM = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzQ8vT4sLk2"
+OTHER = "kJ8sQ2mZx7Lp0TnVb4RwYc9DfGh3Qe5uXa1Zo6Bi"
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder with a documents table of the given texts."""
+
+    def make(texts):
+        rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def redacted(spark, at):
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    return [r.text for r in dict(corpus_pipeline.STAGES)["secrets"](spark, docs, at).orderBy("doc_id").collect()]
+
+
+def test_separators_and_placeholders_hide_no_secret(spark, tables):
+    hidden = [f"see /{RANDOM} there", f"run --key={RANDOM}", f"=_{RANDOM}", f"a sample_key={OTHER} b", f"{OTHER}_EXAMPLE", f"{OTHER}0123456789{RANDOM}"]
+    plain = ["-" * 60, "/usr/local/lib/python3/dist-packages/numpy/core", "--==--==--==--==--==--==--==", "/home/EXAMPLE/this-is-a-sample-of-some-words", "abcdefghijABCDEFGHIJ0123456789", "12345678-1234-1234-1234-123456789012"]
+    at = tables(hidden + plain)
+    rows = {r.doc_id: r for r in queries.op1_secrets(spark, at).collect()}
+    assert all(rows[i].n_entropy for i in range(len(hidden)))
+    assert not any(rows[len(hidden) + i].spans for i in range(len(plain)))
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows.values())
+    texts = redacted(spark, at)
+    assert not any(RANDOM[8:-8] in t or OTHER[8:-8] in t for t in texts)
+    assert texts[len(hidden) :] == plain
+
+
+def test_pieces_between_placeholders(spark):
+    """Spans of one candidate with two secrets keep their places."""
+    text = f"x {OTHER}0123456789{RANDOM} y"
+    spans = [(s["kind"], s["start"], s["end"]) for s in secrets.scan(spark.createDataFrame([(text,)], "text string"), whole=True).first().secrets]
+    assert len(spans) == 2 and spans[0][:2] == ("entropy", 2)
+    assert spans[0][2] <= 2 + len(OTHER) and 2 + len(OTHER) + 10 <= spans[1][1] and spans[1][2] == len(text) - 2
