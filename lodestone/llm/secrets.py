@@ -103,7 +103,8 @@ def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """Adds secrets: array of (kind, start, end), by start, then kind as in KINDS.
 
     Entropy spans that overlap one of the other kinds are left out. A column secrets of the input is replaced.
-    whole: placeholders suppress only the windows that they are in, and a leading separator suppresses nothing (PASSED).
+    whole: placeholders suppress only the windows that they are in, a leading separator suppresses nothing (PASSED), and
+    entropy spans are left out only if one span of another kind covers them.
     """
     there = df.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
@@ -119,9 +120,10 @@ def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     there = there.withColumn("__h", F.expr(f"filter(transform(__c, z -> named_struct('at', z.at, 'hot', {_hot('z.x', limit)})), w -> w.hot is not null)"))
     parts = [f"transform(__s_{k}, s -> named_struct('start', s.start, 'o', {o}, 'end', s.end))" for o, k in enumerate(KINDS[:3])]
     there = there.withColumn("__b", F.expr(f"concat({', '.join(parts)})"))
+    covers = "b.start <= e.start and e.end <= b.end" if whole else "b.start < e.end and e.start < b.end"
     there = there.withColumn(
         "__e",
-        F.expr("filter(transform(__h, w -> named_struct('start', w.at + w.hot.start, 'o', 3, 'end', w.at + w.hot.end)), e -> not exists(__b, b -> b.start < e.end and e.start < b.end))"),
+        F.expr(f"filter(transform(__h, w -> named_struct('start', w.at + w.hot.start, 'o', 3, 'end', w.at + w.hot.end)), e -> not exists(__b, b -> {covers}))"),
     )
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     made = F.expr(f"transform(array_sort(concat(__b, __e)), s -> named_struct('kind', {names}[s.o], 'start', s.start, 'end', s.end))")
