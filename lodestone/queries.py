@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicons, text
-from .operators import chunking, embedding, explorer, guardrails, measures, retrieval
+from .operators import chunking, embedding, explorer, grounding_pairs, guardrails, measures, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,6 +340,13 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("g", guardrails.grounding(F.col("a"), F.col("s"))).select("item_id", "doc_id", "g.passed", F.round("g.confidence", 4).alias("confidence"))
 
 
+@query()
+def grounding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark answer against every document; grounding_check has those of equal residue modulo 40."""
+    found = grounding_pairs.every_pair(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return found.select("item_id", "doc_id", "passed", F.round("confidence", 4).alias("confidence"))
+
+
 def corpus_index(spark: SparkSession, sf_dir: str):
     from .plans.answer import Index
 
