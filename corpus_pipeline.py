@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, near-duplicates by fingerprint and by words, benchmark decontamination, secrets, byte-level BPE.
+"""The corpus pipeline: language ID, near-duplicates by fingerprint and by words, benchmark decontamination, secrets, byte-level BPE and back.
 
 STAGES has (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the
 columns of docs. Rows with nulls in any column, repeated rows and empty tables pass through every stage as the operators
@@ -48,9 +48,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens, the token ids, and whether the bytes decoded from them are those of the text (an empty one if null)."""
+    kept = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__sha256"))
+    ids = bpe.encode(kept, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "__sha256"], back=True)
+    digest = F.sha2("decoded", 256)
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", digest.alias("decoded_sha256"), (digest == F.col("__sha256")).alias("round_trip"))
 
 
 STAGES = [
