@@ -1,8 +1,13 @@
 """Secrets that a leading separator or a placeholder beside them must not hide, in op1 and in the pipeline."""
 
 import hashlib
+import random
+import re
+import time
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import pytest
 
 from lodestone.llm import queries, secrets
@@ -57,3 +62,72 @@ def test_entropy_spans_stay_beside_other_kinds(spark, tables):
     assert [rows[i].n_entropy for i in range(4)] == [1, 1, 1, 0]
     assert [(rows[i].n_assign, rows[i].n_access, rows[i].n_hex) for i in range(4)] == [(0, 0, 1), (1, 0, 0), (0, 1, 0), (1, 0, 0)]
     assert not any(t[k : k + 8] in r for t, r in zip(texts, redacted(spark, at)) for k in range(0, 32, 4))
+
+
+def plain(t):
+    """Spans of scan(whole=True) by brute force: each window is counted anew, each span compared with all."""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN[4:], t, re.I | re.A) if len(m[2]) >= 6]
+    for k, p, least in ((1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
+        base += [(m.start(), k, m.end()) for m in re.finditer(p, t) if len(m[0]) >= least]
+    out, fits = list(base), lambda p, x: re.search(p.replace(r"\z", r"\Z"), x)
+    passed = lambda x: any(fits(p, x) for p in secrets.PASSED)
+    for m in re.finditer(secrets.CANDIDATE, t):
+        if passed(m[0]):
+            continue
+        edges = [0, *(e for f in re.finditer(secrets.PLACEHOLDERS, m[0]) for e in f.span()), len(m[0])]
+        for a, b in zip(edges[::2], edges[1::2]):
+            x = m[0][a:b]
+            if b - a < secrets.WINDOW or passed(x):
+                continue
+            limit = secrets.most(next(bits for p, bits in secrets.CLASSES if fits(p, x)))
+            hot = [i for i in range(b - a - secrets.WINDOW + 1) if sum(map(secrets.weight, Counter(x[i : i + secrets.WINDOW]).values())) <= limit]
+            if hot:
+                e = (m.start() + a + hot[0], 3, m.start() + a + hot[-1] + secrets.WINDOW)
+                if not any(s <= e[0] and e[2] <= end for s, _, end in base):
+                    out.append(e)
+    return [(secrets.KINDS[k], s, e) for s, k, e in sorted(out)]
+
+
+def made(seed, n):
+    """Texts of secrets, placeholders, separators and plain words in any order."""
+    rnd = random.Random(seed)
+    pick = lambda letters, a, b: "".join(rnd.choice(letters) for _ in range(rnd.randint(a, b)))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = [lambda: "é🙂 word ", lambda: "SECRET=", lambda: "api_key : '", lambda: pick(letters, 5, 70), lambda: pick("0123456789abcdef", 10, 50), lambda: " ", lambda: "AKIA" + pick("ABC12", 5, 30), lambda: "example", lambda: "-" * rnd.randint(1, 30), lambda: "/usr/lib", lambda: "a-b_"]
+    return ["".join(rnd.choice(parts)() for _ in range(rnd.randint(1, 14))) for _ in range(n)]
+
+
+def test_whole_scan_and_redaction_against_brute_force(spark, tables):
+    """Also the query's SQL, which has the same rules."""
+    texts = made(8, 400)
+    texts += ["".join(f" {t}" for t in texts * 6), "ab-" * 40_000, "/ab" * 40_000, "example_" * 20_000, OTHER * 2_000]
+    at = tables(texts)
+    rows = {r.doc_id: r for r in secrets.scan(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text"), whole=True).collect()}
+    for i, t in enumerate(texts[:-4]):
+        assert [tuple(s) for s in rows[i].secrets] == plain(t)
+    assert [len(rows[len(texts) - k].secrets) for k in (4, 3, 2, 1)] == [0, 0, 0, 1]
+    for i, t in enumerate(redacted(spark, at)):
+        left, end = "", 0
+        for _, s, e in rows[i].secrets:
+            if s >= end:
+                left += texts[i][end:s] + "[SECRET]"
+            end = max(end, e)
+        assert t == left + texts[i][end:]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}/documents.parquet/*.parquet' where length(text) < 2000")
+    told = {r[0]: r[1:] for r in con.sql(f"select doc_id, spans, base_sha256 from ({secrets.oracle()})").fetchall()}
+    got = {r.doc_id: (r.spans, r.base_sha256) for r in queries.op1_secrets(spark, at).collect() if r.doc_id in told}
+    assert told == got and len(got) >= 400
+
+
+def test_cost_follows_the_matches(spark):
+    """One text of very many assignments and runs: ten times as many may take some ten times as long, not a hundred."""
+    seconds = []
+    for n in (1_000, 1_000, 10_000):
+        text = " ".join(f"token=abc{i:07d} {OTHER[i % 9:]}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = secrets.redact(secrets.scan(df, whole=True)).first()
+        seconds.append(time.perf_counter() - began)
+        assert len(r.secrets) == 2 * n and r.text == " ".join(["[SECRET] [SECRET]"] * n)
+    assert seconds[2] < 40 * max(seconds[1], 0.5)
