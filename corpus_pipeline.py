@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, near-duplicates by fingerprint and by words, benchmark decontamination, secrets, byte-level BPE and back.
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, byte-level BPE and back.
 
 STAGES has (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the
 columns of docs. Rows with nulls in any column, repeated rows and empty tables pass through every stage as the operators
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, language, near_copies, secrets, simhash
+from lodestone.llm import bpe, decontam, language, secrets, simhash
 from lodestone.llm.common import documents, written
 
 
@@ -23,13 +23,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays, that of least doc_id."""
-    return simhash.representatives(docs)
-
-
-def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose 5-word shingles have a similarity of 0.8 or more, along chains, that of least doc_id stays."""
-    return near_copies.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +53,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", languages),
     ("near_duplicates", near_duplicates),
-    ("near_copies", remove_near_copies),
     ("decontaminate", decontaminate),
     ("secrets", redact_secrets),
     ("encode", encode),

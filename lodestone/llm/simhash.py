@@ -1,16 +1,19 @@
 """SimHash near-duplicates: exact comparison of all fingerprints, in tiles.
 
-Fingerprints are put into strata by the population counts of their four 16-bit parts. Two fingerprints differ in at
-least as many bits as the counts of their parts differ in sum, so a pair of strata whose counts differ by more than the
-radius is skipped, and no other pair is. A stratum is cut into tiles of at most TILE fingerprints; each tile meets its
-partner tiles in numpy, with exclusive-or and bit counts. A tile hands on not all linked pairs but a spanning forest of
-them, at most one edge for each fingerprint that it has read.
-
-Equal fingerprints are one node throughout, so thousands of copies of a text cost what one costs.
+Fingerprints (of one 64-bit word or more) are put into strata that cannot hold links with each other unless their numbers
+are close: the population counts of the four 16-bit parts of a word (two fingerprints differ in at least as many bits as
+the counts of their parts differ in sum), or classes of the number of shingles (sets of similarity s differ in size by no
+more than 1/s). A stratum is cut into tiles of about TILE fingerprints, each one row. A tile meets the tiles of its own and
+its partner strata in numpy, with exclusive-or and bit counts; blocks whose population counts differ by more than the
+radius are skipped. A task holds one tile and at most TILES partner tiles of each partner stratum at a time, and hands on
+not all linked pairs but a spanning forest of them.
+
+Equal fingerprints, or equal shingle sets, are one node throughout, so thousands of copies of a text cost what one costs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -22,11 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import written
-from .components import components
+from .common import SHINGLE_WORDS, drop_table, written
+from .components import components, forest
 
-SEED, SHINGLE, RADIUS, TILE, BITS = 42, 3, 2, 4096, 64
+SEED, SHINGLE, RADIUS, TILE, TILES, BITS = 42, 3, 2, 4096, 64, 64
 PARTS = 4
+#: For representatives(): the similarity is PART / WHOLE. Of 128 bits, sets at it differ in 19.4 on average, with a deviation
+#: of 4.1 (the worst case, sets of 4 and 5: 24 and 4.4): more than NEAR for one such pair in some 300, less often for others.
+PART, WHOLE, WORDS, NEAR, COMPARED = 4, 5, 2, 36, 512
+#: Classes of sizes: somewhat wider than the ratio that linked sets can have, so these are of neighbouring classes at most.
+CLASS = 1.26
 
 
 def fingerprint(text: bytes) -> int:
@@ -43,7 +51,16 @@ def fingerprint(text: bytes) -> int:
     for at in range(0, n, 1 << 15):
         part = words[at : at + (1 << 15) + SHINGLE - 1]
         hashes = np.fromiter((xxh64_intdigest(b"%b %b %b" % t, SEED) for t in zip(part, part[1:], part[2:])), dtype=np.uint64, count=len(part) - SHINGLE + 1)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += _ones(hashes)
+    return _majority(counts, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -65,66 +82,99 @@ def _stratum(fp: Column) -> Column:
     return sum((F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF)).cast("int") * 32**k for k in range(PARTS)), F.lit(0)).cast("int")
 
 
-def _steps(radius: int) -> list[tuple[int, ...]]:
-    """By how much the counts of a partner stratum can differ; of each pair of strata one direction, and the stratum itself."""
+def _steps(radius: int) -> list[int]:
+    """How far partner strata are from a stratum, by their population counts: of each pair of strata one direction."""
     found = [s for s in product(range(-radius, radius + 1), repeat=PARTS) if 0 < sum(map(abs, s)) <= radius]
-    return [s for s in found if s > tuple(-x for x in s)]
-
+    return [sum(x * 32**k for k, x in enumerate(s)) for s in found if s > tuple(-x for x in s)]
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges that join what the pairs join, without cycles."""
-    root, edges = list(range(n)), []
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def meet(home: np.ndarray, other: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of home, of other) of rows of words that differ in at most radius bits; same: other is home, pairs come once.
 
-    for one, other in pairs:
-        for a, b in zip(one.tolist(), other.tolist(), strict=True):
-            x, y = top(a), top(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                edges.append((a, b))
-    return edges
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that join all those at radius or fewer differing bits."""
-    base = distinct.select("fp", _stratum(F.col("fp")).alias("s"))
-    # At most 17**4 strata, whatever the input: small enough to send everywhere.
-    tiles = F.broadcast(base.groupBy("s").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
-    cut = base.join(tiles, "s").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    # A tile meets itself, the earlier tiles of its stratum and all tiles of the partner strata.
-    own = cut.select("s", F.explode(F.expr("sequence(0, tile)")).alias("t"), "fp", (F.col("tile") == F.col("t")).alias("home"))
-    steps = F.array(*[F.lit(sum(x * 32**k for k, x in enumerate(step))).cast("int") for step in _steps(radius)])
-    probes = cut.select(F.explode(F.transform(steps, lambda d: F.col("s") + d)).alias("s"), "fp").join(tiles, "s")
-    probes = probes.select("s", F.explode(F.expr("sequence(0, tiles - 1)")).alias("t"), "fp", F.lit(False).alias("home"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        fps = group["fp"].to_numpy().view(np.uint64)
-        home = np.flatnonzero(group["home"].to_numpy())
+    Both are taken in the order of their population counts, so a block of one meets only the rows of the other whose
+    counts are within the radius.
+    """
+    ones, others = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (home, other))
+    order, orders = np.argsort(ones, kind="stable"), np.argsort(others, kind="stable")
+    home, ones, other, others = home[order], ones[order], other[orders], others[orders]
+    step = max(1, (1 << 17) // max(1, len(other)))
+    for at in range(0, len(home), step):
+        end = min(at + step, len(home))
+        first, last = np.searchsorted(others, ones[at] - radius), np.searchsorted(others, ones[end - 1] + radius, side="right")
+        first = max(first, at) if same else first
+        if first >= last:
+            continue
+        far = np.bitwise_count(home[at:end, None, 0] ^ other[None, first:last, 0])
+        for k in range(1, home.shape[1]):
+            far = far + np.bitwise_count(home[at:end, None, k] ^ other[None, first:last, k])
+        a, b = np.nonzero(far <= radius)
+        a, b = a + at, b + first
+        if same:
+            a, b = a[a < b], b[a < b]
+        yield order[a], orders[b]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, steps: list[int] | None = None) -> DataFrame:
+    """Edges (u, v), a written table, between nodes that join all those whose words differ in radius or fewer bits.
+
+    nodes: node (long), words (array of longs), s (stratum), or fp alone (then node and word, with the strata of its
+    parts). steps: the partner strata of a stratum, as differences of s, one direction of each pair.
+    """
+    if "fp" in nodes.columns:
+        nodes, steps = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words"), _stratum(F.col("fp")).alias("s")), _steps(radius)
+    # Strata are bounded in number, whatever the input (17**4 by parts): small enough to send everywhere.
+    tiles = nodes.groupBy("s").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    most = tiles.agg(F.max("tiles")).first()[0] or 1
+    cut = nodes.join(F.broadcast(tiles), "s").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # A row for each tile: node and words of its members one after another.
+    held = written(cut.groupBy("s", "t", "tiles").agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.concat(F.array("node"), "words"))).alias("members")), "tiles")
+    # Task (s, home, part) compares tile home with those tiles t of its own (t > home) and the partner strata of which t div TILES is part.
+    own = held.select("s", F.explode(F.expr("sequence(0, t)")).alias("home"), F.floor(F.col("t") / TILES).cast("int").alias("part"), (F.col("t") == F.col("home")).alias("here"), "n", "members")
+    # The home tile itself also goes to the tasks of its other parts.
+    again = F.expr(f"filter(sequence(0, {(most - 1) // TILES}), p -> p != t div {TILES})")
+    more = held.select("s", F.col("t").alias("home"), F.explode(again).alias("part"), F.lit(True).alias("here"), "n", "members")
+    probes = held.select(F.explode(F.array(*[F.col("s") + F.lit(d) for d in steps])).alias("s"), F.floor(F.col("t") / TILES).cast("int").alias("part"), "n", "members") if steps else None
+    rows = own.unionByName(more.select(own.columns))
+    if steps:
+        probes = probes.join(F.broadcast(tiles), "s").select("s", F.explode(F.expr("sequence(0, tiles - 1)")).alias("home"), "part", F.lit(False).alias("here"), "n", "members")
+        rows = rows.unionByName(probes)
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        here = group["here"].to_numpy()
+        parts = [np.asarray(m).reshape(n, -1) for m, n in zip(group["members"], group["n"], strict=True)]
+        # A home tile comes in each of its tasks; it is compared with itself in the one that has its own part.
+        homes, guests = [p for p, h in zip(parts, here, strict=True) if h], [p for p, h in zip(parts, here, strict=True) if not h]
+        if not homes:
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        every = np.concatenate([homes[0], *guests])
+        starts = np.cumsum([len(homes[0]), *map(len, guests)])
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            step = max(1, (1 << 21) // max(1, len(home)))
-            for at in range(0, len(fps) if len(home) else 0, step):
-                one, other = np.nonzero(np.bitwise_count(fps[at : at + step, None] ^ fps[home][None, :]) <= radius)
-                one += at
-                differ = one != home[other]
-                yield one[differ], home[other[differ]]
+            home = homes[0][:, 1:].view(np.uint64)
+            if key[2] == key[1] // TILES:
+                yield from meet(home, home, radius, True)
+            for at, guest in zip(starts, guests, strict=False):
+                for a, b in meet(home, guest[:, 1:].view(np.uint64), radius, False):
+                    yield a, b + at
+
+        tree = np.array(forest(len(every), pairs()), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": every[tree[:, 0], 0], "v": every[tree[:, 1], 0]})
+
+    edges = written(rows.groupBy("s", "home", "part").applyInPandas(compare, "u long, v long"), "links")
+    drop_table(held)
+    return edges
 
-        edges = np.array(_forest(len(fps), pairs()), dtype=np.int64).reshape(-1, 2)
-        got = group["fp"].to_numpy()
-        return pd.DataFrame({"u": got[edges[:, 0]], "v": got[edges[:, 1]]})
 
-    return own.unionByName(probes).groupBy("s", "t").applyInPandas(compare, "u long, v long")
+def _joined(edges: DataFrame) -> DataFrame:
+    found = components(edges)
+    drop_table(edges)
+    return found
 
 
 def _classes(rows: DataFrame, key: str, radius: int, tile: int) -> DataFrame:
     """(fp, least, root) for each distinct fingerprint: its least key and the least fingerprint that can be reached."""
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, tile))
+    found = _joined(links(nodes.select("fp"), radius, tile))
     return nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -133,7 +183,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
     Every row of the input has a row in the result, repeated keys included. A null key is passed over as a least one: a
     component of null keys alone has component_id null. Empty and null texts have fingerprint 0 and are linked as any
-    other.
+    other. Long texts are read whole, in blocks.
     """
     rows = written(fingerprints(df, text, keep=[key]), "fingerprints")
     linked = _classes(rows, key, radius, tile)
@@ -143,26 +193,99 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return rows.join(ids, "fp").select(key, "fp", "component_id")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each component: that of the least key (nulls last), and of the least text hash if several have it.
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the text's distinct 5-word shingles, sorted. A text of fewer words has one, a text without words none."""
+    words = text.lower().split()
+    if len(words) <= SHINGLE_WORDS:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    n = len(words) - SHINGLE_WORDS + 1
+    return np.unique(np.fromiter((xxh64_intdigest(b"%b %b %b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:], words[3:], words[4:])), dtype=np.uint64, count=n))
+
 
-    Texts are exchanged once at most, for the join with the rows that stay; rows that repeat key and text are told
-    apart only where there are any.
-    """
-    same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    rows = written(fingerprints(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), F.col(f"`{text}`").alias("__text")), "__text", ["__key", "__same"]), "fingerprints")
-    linked = _classes(rows.select("__key", "fp"), "__key", radius, tile).select("fp", "root")
-    return least_rows(df, rows, linked, key, same)
+def set_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WORDS words of bits that most of a set's hashes have, the later words from the hashes mixed anew; zeros for an empty set."""
+    out = []
+    for _ in range(WORDS):
+        counts = sum((_ones(hashes[at : at + (1 << 15)]) for at in range(0, len(hashes), 1 << 15)), np.zeros(BITS, dtype=np.int64))
+        out.append(_majority(counts, len(hashes)))
+        hashes = (hashes ^ hashes >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        hashes = hashes ^ hashes >> np.uint64(29)
+    return out
 
 
-def least_rows(df: DataFrame, rows: DataFrame, linked: DataFrame, key: str, same: Column) -> DataFrame:
-    """The row of df of each root that representatives() keeps. rows: __key, __same, fp; linked: fp, root."""
+def _signed(df: DataFrame) -> DataFrame:
+    """__key, __same, node (a hash of the shingle set), words and size of rows (__key, __same, __text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(x.as_py()) for x in batch.column("__text"))
+            made = [(xxh64_intdigest(s.tobytes(), SEED), set_fingerprint(s), len(s)) for s in sets]
+            node = np.array([n for n, _, _ in made], dtype=np.uint64).view(np.int64)
+            words = np.array([w for _, w, _ in made], dtype=np.uint64).view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, WORDS, dtype=np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__same"), pa.array(node), lists, pa.array([n for _, _, n in made], pa.int32())], names=["__key", "__same", "node", "words", "size"])
+
+    kept = [f for f in df.schema.fields if f.name != "__text"]
+    return df.mapInArrow(run, T.StructType(kept).add("node", T.LongType()).add("words", T.ArrayType(T.LongType())).add("size", T.IntegerType()))
+
+
+def similar(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (as arrays of first and second) of the sets at the similarity, by the places where each shingle occurs."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner, (_, code) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    held, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    for i, end in enumerate(np.cumsum(sizes)):
+        mine = code[end - sizes[i] : end]
+        n = starts[mine + 1] - starts[mine]
+        places = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(held[places], minlength=len(sets))
+        # shared / (a + b - shared) >= PART / WHOLE, in whole numbers.
+        other = np.flatnonzero((shared > 0) & ((PART + WHOLE) * shared >= PART * (sizes + sizes[i])))
+        other = other[other > i]
+        yield np.full(len(other), i), other
+
+
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.drop_duplicates("node")
+    node = group["node"].to_numpy()
+    edges = np.array(forest(len(node), similar([shingles(t) for t in group["text"]])), dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": node[edges[:, 0]], "v": node[edges[:, 1]]})
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = NEAR, tile: int = TILE, compared: int = COMPARED) -> DataFrame:
+    """One row of each component of texts whose 5-word shingle sets have a similarity of 0.8 or more.
+
+    Fingerprints of 128 bits of the sets are compared in tiles, by classes of set size; they only propose. Texts proposed
+    together, along chains, are then compared by their exact sets, in tiles of about compared texts, and only pairs at the
+    similarity are linked. Texts without words are copies of each other; a null text is an empty one.
+
+    The row that stays is that of the least key (nulls last), and of the least text hash if several have it. Rows that
+    repeat key and text are told apart only where there are any. Columns of any name stay. Texts are exchanged once, for
+    the join with the rows that stay, and those of proposed groups once for each of their group's tiles.
+    """
+    same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
+    rows = written(_signed(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("__text"))), "signatures")
+    nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.min("__same").alias("__same")), "nodes")
+    classes = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(CLASS)).cast("int")
+    found = _joined(links(nodes.select("node", "words", classes.alias("s")), radius, tile, steps=[1]))
+    near = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    # One text of each node goes to the tiles of its group.
+    tiles = near.groupBy("root").agg(F.ceil(F.count("*") / compared).cast("int").alias("tiles"))
+    asked = near.join(tiles, "root").join(nodes.select("node", "__same"), "node")
+    asked = written(asked.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.col("__same").alias("__asked")), "asked")
+    texts = df.select(same.alias("__same"), raw.alias("text")).join(asked, F.col("__same") == F.col("__asked")).dropDuplicates(["node"])
+    dealt = texts.select("node", "text", "root", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("t"))
+    dealt = dealt.select("node", "text", "root", F.least("tile", "t").alias("one"), F.greatest("tile", "t").alias("other"))
+    linked = components(dealt.groupBy("root", "one", "other").applyInPandas(_compare, "u long, v long"))
+    roots = nodes.select("node").join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
-    # Rows of a fingerprint are reduced before the join, so copies are not joined one by one.
-    least = rows.groupBy("fp").agg(first).join(linked, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # Rows of a node are reduced before the join, so copies are not joined one by one.
+    least = rows.groupBy("node").agg(first).join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(least.select(F.col("first.key").alias("__key"), F.col("first.same").alias("__same")), "chosen")
+    twice = rows.join(chosen, rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"]), "left_semi").groupBy("__key", "__same").count().filter("count > 1").isEmpty()
+    for done in (rows, nodes, near, asked):
+        drop_table(done)
     kept = df.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (same == F.col("__same")), "left_semi")
-    twice = rows.join(chosen, rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"]), "left_semi").groupBy("__key", "__same").count().filter("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.withColumn("__same", same).dropDuplicates([key, "__same"]).drop("__same")
+    return kept if twice else kept.withColumn("__same", same).dropDuplicates([key, "__same"]).drop("__same")

@@ -162,15 +162,6 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(101, 161)}, **{x: 7 for x in range(200, 260)}, 4: 3}
 
 
-def test_representatives(spark, odd):
-    kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns
-    rows = odd.collect()
-    fps = [plain_fingerprint(r.text) for r in rows]
-    groups = set(plain_components(list(range(len(rows))), fps))
-    assert kept.count() == len(groups)
-
-
 def test_shards(spark, docs, odd):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
     for df, bound in ((docs, None), (hot, 0.01), (odd, None), (odd.limit(0), None)):
@@ -214,9 +205,6 @@ def test_pipeline_decisions(spark, data):
     f = dict(corpus_pipeline.STAGES)
     assert f["language"](spark, docs, data).count() >= 0.99 * docs.count()
     ids = [r.doc_id for r in docs.select("doc_id").collect()]
-    parts = plain_components(ids, [plain_fingerprint(r.text) for r in docs.orderBy("doc_id").collect()]) if ids == sorted(ids) else None
-    kept = {r.doc_id for r in f["near_duplicates"](spark, docs, data).collect()}
-    assert parts is None or kept == set(parts)
     found = {r.doc_id for r in queries.op7_decontam(spark, data).collect()}
     assert {r.doc_id for r in f["decontaminate"](spark, docs, data).collect()} == set(ids) - found and found
     clean = f["secrets"](spark, docs, data)

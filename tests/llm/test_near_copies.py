@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from lodestone.llm import near_copies
+from lodestone.llm import components, simhash
 
 
 def plain_shingles(t):
@@ -44,17 +44,17 @@ def variants(seed):
     return out
 
 
-@pytest.mark.parametrize("tile", [3, near_copies.TILE])
+@pytest.mark.parametrize("tile", [3, simhash.TILE])
 def test_near_copies_against_all_pairs(spark, docs, tile):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate(variants(5) + [None, "", " \n", "one", "One", "one two"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in near_copies.representatives(df, tile=tile).collect()) == plain_kept(rows)
-    assert near_copies.representatives(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.representatives(df, tile=tile, compared=max(tile, 20)).collect()) == plain_kept(rows)
+    assert simhash.representatives(df.limit(0)).count() == 0
 
 
 def test_pipeline_leaves_no_near_copies(spark, data):
-    """Fingerprints of radius 2 leave pairs of similarity 0.8 and more on these tables."""
+    """Nor a pair of them: the stage is held against all pairs."""
     held = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         if name == "decontaminate":
@@ -65,7 +65,32 @@ def test_pipeline_leaves_no_near_copies(spark, data):
 
 
 def test_near_copies_of_odd_rows(spark, odd):
-    kept = near_copies.representatives(odd)
+    kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
     texts = {frozenset(plain_shingles(r.text)) for r in odd.collect()}
     assert len(texts) >= kept.count() == len({frozenset(plain_shingles(r.text)) for r in kept.collect()})
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 64])
+def test_tiles_meet_all_others(spark, monkeypatch, tiles):
+    """However few partner tiles a task takes at once, no pair is lost."""
+    monkeypatch.setattr(simhash, "TILES", tiles)
+    rnd = random.Random(7)
+    base = [[rnd.getrandbits(64) for _ in range(2)] for _ in range(15)]
+    rows = []
+    for i in range(120):
+        a, b = base[i % 15]
+        for _ in range(rnd.randint(0, 6)):
+            a, b = a ^ 1 << rnd.randrange(64), b ^ 1 << rnd.randrange(64)
+        rows.append((i, [a, b], rnd.choice([3, 4, 5, 9])))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(i, [signed(x) for x in w], s) for i, w, s in rows], "node long, words array<long>, s int")
+    root = list(range(len(rows)))
+    top = lambda x: x if root[x] == x else top(root[x])
+    for i, w, s in rows:
+        for j, v, t in rows[:i]:
+            if abs(s - t) <= 1 and sum((x ^ y).bit_count() for x, y in zip(w, v)) <= 5:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components.components(simhash.links(df, 5, 4, steps=[1])).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == [top(i) for i in range(len(rows))]
