@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, one of our own on a single machine; an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-        if not path:
-            path = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
-            spark.sparkContext.setCheckpointDir(path)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 

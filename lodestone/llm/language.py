@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Bounds of the sample: labelled rows of a language, languages. Then the trigram buckets.
-ROWS, LANGUAGES, BUCKETS = 1_000, 64, 1 << 16
-#: Trigrams overlap, so their evidence is tempered, and no text brings more than so many trigrams' worth of it.
-TEMPER, MOST = 0.3, 2_000
+#: Bound of the sample: labelled rows of a language (all languages that are labelled count). Then the trigram buckets.
+ROWS, BUCKETS = 1_000, 1 << 16
+#: Trigrams overlap, so their evidence is tempered.
+TEMPER = 0.3
 #: Weight of a level's prior in the level below, in rows; of any declared language, in rows.
 KAPPA, ALPHA = 10.0, 1.0
 #: A text is rejected without a letter, or if its trigrams are on average no likelier than this, near that of any bytes.
@@ -49,14 +49,14 @@ class Model:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """On about ROWS rows of each language, by the hash of the key; rows without a label or text are not used."""
-    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    common = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
-    # A share of each language's rows by the hash of their keys: no row has to be compared with another.
-    below = F.lit(None).cast("long")
-    for r in common:
-        below = F.when(F.col(label) == r[label], int((1 << 32) * min(1.0, ROWS / r["count"]))).otherwise(below)
-    there = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < below).select(F.col(label).alias("__label"), F.col(text).alias("__text"))
+    """On about ROWS rows of each language, by the hash of the key; rows without a label or text are not used.
+
+    Every label is a language: the model has a column for each, so it is bounded by the labels in use, not by the rows.
+    """
+    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("__label"), F.col(text).cast("string").alias("__text"), F.pmod(F.xxhash64(key), F.lit(1 << 32)).alias("__at"))
+    # A share of each language's rows by the hash of their keys: no row has to be compared with another. One row for each label.
+    shares = rows.groupBy("__label").agg(F.least(F.lit(1.0), ROWS / F.count("*")).alias("__share"))
+    there = rows.join(F.broadcast(shares), "__label").filter(F.col("__at") < (1 << 32) * F.col("__share")).select("__label", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +113,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: Column | Non
     """Adds language, probability, text_language and accepted.
 
     host, domain, suffix, declared: string columns, any of them absent or null (then that evidence is neutral). A text
-    without letters or unlike every language gets "und", probability 0 and accepted false. Ties go to the first language
-    in order. Without any language to tell (no labelled rows) all is "und", and texts with letters are accepted.
+    without letters (null and empty ones too) or unlike every language gets "und", probability 0 and accepted false. Ties
+    go to the first language in order; long texts count whole; repeated rows count each. Without any language to tell (no labelled rows) all is "und", and texts with letters are accepted.
     """
     made = ["language", "probability", "text_language", "accepted"]
     keep = [c for c in df.columns if c not in made] if keep is None else keep
@@ -139,20 +139,16 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: Column | Non
     hosts = places.join(domains, "__domain", "left").join(suffixes, "__suffix", "left").select("__host", counted.alias("__c"), F.coalesce("__pd", "__ps", flat).alias("__ph"))
     # A written table, so that both sides of the join are plain exchanges and a crowded host's rows can be split.
     hosts = written(hosts, "hosts")
-    # How often each language declares what: languages (bounded) by the LANGUAGES most declared ones.
-    said = scored.filter("__top is not null").groupBy("__top", "__declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__top", "__declared").limit(n * LANGUAGES).collect()
-    tags = sorted({r["__declared"] for r in said if r["__declared"] is not None})
-    by_tag = {t: [ALPHA] * n for t in tags}
-    for r in said:
-        if r["__declared"] is not None:
-            by_tag[r["__declared"]][r["__top"]] += r["n"]
-    log_declared = F.array(*[F.lit(0.0)] * n)
-    for t in tags:
-        log_declared = F.when(F.col("__declared") == t, F.array(*[F.lit(float(np.log(c / (all_[i] + ALPHA * (len(tags) + 1))))) for i, c in enumerate(by_tag[t])])).otherwise(log_declared)
-    joined = scored.join(hosts, "__host", "left")
+    # How often each language declares what, whatever number of tags there is; a written table for the same reason.
+    tags = scored.filter("__top is not null and __declared is not null").groupBy("__declared").agg(F.array(*[F.count_if(F.col("__top") == i) for i in range(n)]).alias("__n"))
+    tags = written(tags, "tags")
+    chances = F.array(*[F.lit(float(c)) for c in all_])
+    tags = tags.select("__declared", F.zip_with("__n", chances, lambda c, t: F.log((c + ALPHA) / (t + F.lit(ALPHA * (tags.count() + 1))))).alias("__ld"))
+    log_declared = F.coalesce("__ld", F.array(*[F.lit(0.0)] * n))
+    joined = scored.join(hosts, "__host", "left").join(tags, "__declared", "left")
     own = F.transform("__c", lambda c, i: F.when(i == F.col("__top"), F.greatest(c - 1, F.lit(0.0))).otherwise(c))
     prior = F.when(F.col("__c").isNotNull(), _smoothed(own, F.col("__ph"))).otherwise(flat)
-    weight = TEMPER * F.least(F.col("n_trigrams"), F.lit(MOST))
+    weight = TEMPER * F.col("n_trigrams")
     logs = F.zip_with(F.zip_with("mean_log", log_declared, lambda m, d: m * F.col("__w") + d), "__prior", lambda a, p: a + F.log(p))
     joined = joined.withColumns({"__prior": prior, "__w": weight}).withColumn("__logs", logs).withColumn("__max", F.array_max("__logs"))
     share = 1 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__max")))
@@ -169,12 +165,18 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: Column | Non
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """Adds of a page's url and html: host, domain (its last two names), suffix, declared (the lang of <html>, first part), text."""
+    """Adds of a page's url and html: host, domain (its last two names), suffix, declared (the lang of <html>, first part), text.
+
+    text: what articles and main parts show, or the body if there is no letter in them. Null url or html: null parts, empty text.
+    """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     html = F.coalesce(F.col("html"), F.lit(""))
     body = F.regexp_replace(html, r"(?is)<(script|style|nav|title)\b.*?</\1\s*>|<!--.*?-->", " ")
-    main = F.regexp_extract(body, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
-    plain = F.regexp_replace(F.regexp_replace(F.when(main != "", main).otherwise(body), r"<[^>]*>", " "), r"&[a-z]+;|&#\w+;", " ")
+    # From the first article or main to the end of the last one: all of them, those inside others too.
+    main = F.regexp_extract(body, r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)\s*>", 1)
+    visible = lambda c: F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"&[a-z]+;|&#\w+;", " ")
+    there = pages.withColumns({"__body": body, "__main": visible(main)})
+    plain = F.when(F.col("__main").rlike(r"\p{L}"), F.col("__main")).otherwise(visible(F.col("__body")))
     blank = lambda c: F.when(c != "", c)
-    there = pages.withColumns({"host": blank(host), "declared": blank(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))), "text": plain})
+    there = there.withColumns({"host": blank(host), "declared": blank(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))), "text": plain}).drop("__body", "__main")
     return there.withColumns({"domain": blank(F.regexp_extract("host", r"([^.]+\.[^.]+)\z", 1)), "suffix": blank(F.regexp_extract("host", r"\.([^.]+)\z", 1))})

@@ -103,7 +103,7 @@ def shard(df: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str
     """Adds size, text_crc32, shard (0 to shards - 1) and slot, the row's place in its shard, without gaps.
 
     size: UTF-8 bytes of the text plus 1; a null text has none and counts as an empty one. key: an integer; a null key
-    sorts first. Rows of equal text and key stay in one shard. keep: the columns that stay besides, all unless given;
+    sorts first. Rows of equal text and key stay in one shard, however many; texts of any length count whole. keep: the columns that stay besides, all unless given;
     columns under the new names are replaced.
     """
     made = ["size", "text_crc32", "shard", "slot"]
@@ -116,23 +116,23 @@ def shard(df: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str
             F.crc32(held.cast("binary")).alias("text_crc32"),
             F.xxhash64(held).alias("k1"),
             F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST)).alias("k2"),
+            # A number of the row, fixed by writing it: rows of one text and key can so be numbered by several tasks.
+            F.monotonically_increasing_id().alias("no"),
         ),
         "shard-rows",
     )
     of = sum((_after(s).cast("int") for s in splitters(rows.select("k1", "k2", "size"), shards, tolerance)), F.lit(0))
     # Slots are dealt by ranges of the hash, the crowded ones cut further, so that no task numbers a whole shard.
     rows = rows.withColumns({"shard": of, "range": F.shiftright("k1", 64 - BITS).cast("int")})
-    per_range = rows.groupBy("range").agg(F.count("*").alias("n")).collect()
-    limit = min(CHUNK_ROWS, 4 * (sum(r.n for r in per_range) >> BITS) + 64)
-    crowded = {r["range"]: -(-r.n // limit) for r in per_range if r.n > limit}
-    cuts = F.lit(1)
-    for at, n in crowded.items():
-        cuts = F.when(F.col("range") == at, n).otherwise(cuts)
-    rows = rows.withColumn("cut", F.pmod(F.xxhash64("k2", "k1"), cuts.cast("long")).cast("int"))
+    per_range = {r["range"]: r.n for r in rows.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    limit = min(CHUNK_ROWS, 4 * (sum(per_range.values()) >> BITS) + 64)
+    # By place in one literal: there are 2 ** BITS ranges, whatever the input.
+    cuts = F.array(*[F.lit(-(-per_range.get(r, 1) // limit)) for r in range(-(1 << BITS - 1), 1 << BITS - 1)])
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("no"), F.get(cuts, F.col("range") + (1 << BITS - 1))).cast("int"))
     chunk = ["shard", "range", "cut"]
     per_chunk = rows.groupBy(*chunk).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range", "cut").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each chunk: 2 ** BITS and the crowded ones' cuts.
     offsets = F.broadcast(per_chunk.select(*chunk, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    number = F.row_number().over(Window.partitionBy(*chunk).orderBy("k1", "k2", "size"))
+    number = F.row_number().over(Window.partitionBy(*chunk).orderBy("k1", "k2", "no"))
     return rows.withColumn("place", number).join(offsets, chunk).select("row.*", "size", "text_crc32", "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"))

@@ -185,6 +185,74 @@ def test_equal_texts_stay_together_where_they_fit(spark):
     assert split <= 7
 
 
+def test_shards_of_many_crowded_ranges(spark, monkeypatch):
+    """Every range of hashes is cut, and rows of one text and key too."""
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 1)
+    df = spark.range(9000).select(F.when(F.col("id") < 3000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "one text").otherwise(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
+    got = sharding.shard(df).toPandas()
+    assert len(got) == 9000
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_shards_as_by_sorting_all_rows(spark, docs):
+    """Shards follow one order of all rows, and each border lies within the tolerance of its share of the bytes."""
+    got = sharding.shard(docs).select("doc_id", "size", "shard", F.xxhash64("text").alias("k1")).toPandas().sort_values(["k1", "doc_id"])
+    assert got["shard"].is_monotonic_increasing
+    total, largest = got["size"].sum(), got["size"].max()
+    for k in range(1, 8):
+        assert abs(got.loc[got["shard"] < k, "size"].sum() - total * k / 8) <= max(largest, sharding.TOLERANCE * total / 8)
+
+
+def plain_language(rows, model, host, declared):
+    """identify() by plain sums: (language, accepted) of each of rows (text, host, declared)."""
+    n = len(model.languages)
+    means = [[model.table[language.trigrams(t or "")].astype(float).mean(axis=0)][0] if len(language.trigrams(t or "")) else None for t, _, _ in rows]
+    tops = [int(m.argmax()) if m is not None and m.max() > language.FLOOR else None for m in means]
+    everywhere = np.array([tops.count(i) + 1.0 for i in range(n)])
+    everywhere /= everywhere.sum()
+    tags = {d for (_, _, d), t in zip(rows, tops) if d is not None and t is not None}
+    out = []
+    for (text, h, d), m, t in zip(rows, means, tops):
+        if t is None:
+            out.append(("und", False))
+            continue
+        prior = everywhere
+        if h is not None:
+            own = np.array([sum(1 for (_, o, _), u in zip(rows, tops) if o == h and u == i) for i in range(n)], dtype=float)
+            own[t] -= 1
+            prior = (own + language.KAPPA * everywhere) / (own.sum() + language.KAPPA)
+        logs = language.TEMPER * len(language.trigrams(text)) * m + np.log(prior)
+        if d in tags:
+            logs += np.log([(sum(1 for (_, _, e), u in zip(rows, tops) if e == d and u == i) + language.ALPHA) / (tops.count(i) + language.ALPHA * (len(tags) + 1)) for i in range(n)])
+        out.append((model.languages[int(logs.argmax())], True))
+    return out
+
+
+def test_languages_against_plain_sums(spark, docs):
+    model = language.fit(docs)
+    rnd = random.Random(3)
+    texts = [r.text for r in docs.select("text").collect()][:60]
+    rows = [(t if rnd.random() < 0.3 else t[: rnd.randint(0, 25)], rnd.choice([None, "a.x", "b.y"]), rnd.choice([None, "en", "de", "zz", "en"])) for t in texts * 2]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, host string, tag string")
+    got = {r.id: (r.language, r.accepted) for r in language.identify(df, model, host=F.col("host"), declared=F.col("tag")).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_language(rows, model, 1, 2)
+
+
+def test_any_number_of_labels_and_tags(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("wort"), F.col("id").cast("string"), F.lit(" word nee ja")).alias("text"), F.concat(F.lit("tag"), (F.col("id") % 2000).cast("string")).alias("tag"), F.concat(F.lit("l"), (F.col("id") % 90).cast("string")).alias("lang"))
+    model = language.fit(df)
+    assert len(model.languages) == 90
+    assert language.identify(df, language.Model(model.languages[:3], model.table[:, :3]), declared=F.col("tag")).filter("accepted").count() == 3000
+
+
+def test_pages_of_several_articles(spark):
+    html = ["<html><body><main><article>Eins <article>zwei</article> drei</article> mehr</main><article>vier</article>tail</body>", "<article>123</article><p>Text</p>", None]
+    got = [r.text.split() for r in language.page_parts(spark.createDataFrame([(None, h) for h in html], "url string, html string")).collect()]
+    assert got == [["Eins", "zwei", "drei", "mehr", "vier"], ["123", "Text"], []]
+    assert language.page_parts(spark.createDataFrame([], "url string, html string")).count() == 0
+
+
 def test_pipeline_stages(spark, data, odd):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns
