@@ -50,46 +50,64 @@ def py_tokens(s: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in s.strip().lower()).split()
 
 
+def hashes(strings: list[str], seed: int) -> np.ndarray:
+    """py_hash32 of many strings, character by character over all that have one."""
+    units = np.frombuffer("".join(strings).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
+    n = np.fromiter((len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2 for s in strings), dtype=np.int64, count=len(strings))
+    start, order = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+    h, sizes = np.uint64(seed) ^ n[order].astype(np.uint64), -n[order]
+    for k in range(int(n.max(initial=0))):
+        longer = np.searchsorted(sizes, -k)
+        m = (h[:longer] ^ units[start[order[:longer]] + k]) * np.uint64(MULTIPLIER) & np.uint64(MASK)
+        h[:longer] = m ^ m >> np.uint64(15)
+    out = np.empty(len(strings), dtype=np.int64)
+    out[order] = h.astype(np.int64)
+    return out
+
+
+def vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """A row for each text. Each distinct token, trigram and pair of a batch is hashed once."""
+    out = np.zeros(len(texts) * dim)
+    found = [py_tokens(t) for t in texts]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    code: dict[str, int] = {}
+    codes = np.fromiter((code.setdefault(t, len(code)) for ts in found for t in ts), dtype=np.int64, count=int(sizes.sum()))
+    if not len(codes):
+        return out.reshape(len(texts), dim)
+    tokens, row = list(code), np.repeat(np.arange(len(texts)), sizes)
+    sign = lambda h, bit: np.where(h & bit, 1.0, -1.0)
+
+    def add(rows: np.ndarray, slots: np.ndarray, values: np.ndarray) -> None:
+        np.add(out, np.bincount(rows * dim + slots, weights=values, minlength=len(out)), out=out)
+
+    h, s = hashes(tokens, TOKEN_SEED), hashes(tokens, SIGN_SEED)
+    add(row, (h % dim)[codes], (FIRST * sign(s, 1))[codes])
+    add(row, (h >> 8 & 0xFFFFFF)[codes] % dim, (SECOND * sign(s, 2))[codes])
+    parts: dict[str, int] = {}
+    n = np.fromiter((max(0, len(t) - 2) for t in tokens), dtype=np.int64, count=len(tokens))
+    part = np.fromiter((parts.setdefault(t[k : k + 3], len(parts)) for t in tokens for k in range(len(t) - 2)), dtype=np.int64, count=int(n.sum()))
+    if len(part):
+        g, start, times = hashes(list(parts), TRIGRAM_SEED), np.cumsum(n) - n, n[codes]
+        each = part[np.repeat(start[codes] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        add(np.repeat(row, times), (g % dim)[each], (TRIGRAM * sign(g, 4))[each])
+    first = np.flatnonzero(row[1:] == row[:-1])
+    pairs, at = np.unique(codes[first] * len(tokens) + codes[first + 1], return_inverse=True)
+    if len(pairs):
+        g = hashes([f"{tokens[p // len(tokens)]}_{tokens[p % len(tokens)]}" for p in pairs.tolist()], PAIR_SEED)
+        add(row[first], (g % dim)[at], (PAIR * sign(g, 8))[at])
+    made = out.reshape(len(texts), dim) / np.sqrt(np.maximum(sizes, 1))[:, None]
+    norm = np.sqrt((made * made).sum(axis=1, keepdims=True))
+    return np.where(norm > 1e-8, made / np.maximum(norm, 1e-8), made)
+
+
 class Embedder:
-    """Vectors of texts. What a token adds is kept, up to a bound, as it is the same in every text."""
-
-    def __init__(self, dim: int = DIM, kept: int = 200_000):
-        self.dim, self.kept = dim, kept
-        self.token: dict[str, tuple[list[int], list[float]]] = {}
-
-    def _token(self, t: str) -> tuple[list[int], list[float]]:
-        found = self.token.get(t)
-        if found is None:
-            h, s = py_hash32(t, TOKEN_SEED), py_hash32(t, SIGN_SEED)
-            at, add = [h % self.dim, (h >> 8) % self.dim], [FIRST if s & 1 else -FIRST, SECOND if s & 2 else -SECOND]
-            for k in range(len(t) - 2):
-                h = py_hash32(t[k : k + 3], TRIGRAM_SEED)
-                at.append(h % self.dim)
-                add.append(TRIGRAM if h & 4 else -TRIGRAM)
-            if len(self.token) >= self.kept:
-                self.token.clear()
-            found = self.token[t] = at, add
-        return found
+    """The vector of one text."""
+
+    def __init__(self, dim: int = DIM):
+        self.dim = dim
 
     def __call__(self, text: str) -> np.ndarray:
-        v = np.zeros(self.dim)
-        tokens = py_tokens(text)
-        if not tokens:
-            return v
-        at: list[int] = []
-        add: list[float] = []
-        for i, t in enumerate(tokens):
-            a, b = self._token(t)
-            at += a
-            add += b
-            if i + 1 < len(tokens):
-                h = py_hash32(f"{t}_{tokens[i + 1]}", PAIR_SEED)
-                at.append(h % self.dim)
-                add.append(PAIR if h & 8 else -PAIR)
-        np.add.at(v, at, add)
-        v /= np.sqrt(len(tokens))
-        norm = np.sqrt((v * v).sum())
-        return v / norm if norm > 1e-8 else v
+        return vectors([text], self.dim)[0]
 
 
 def embed(df: DataFrame, text: str = "text", to: str = "embedding", dim: int = DIM, keep: list[str] | None = None) -> DataFrame:
@@ -98,12 +116,12 @@ def embed(df: DataFrame, text: str = "text", to: str = "embedding", dim: int = D
     there = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedder = Embedder(dim)
         for batch in batches:
-            vectors = [embedder(x.as_py() or "").astype(np.float32) for x in batch.column("__text")]
-            flat = pa.array(np.concatenate(vectors) if vectors else np.zeros(0, dtype=np.float32))
-            made = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * dim), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, to])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                flat = vectors([x.as_py() or "" for x in part.column("__text")], dim).astype(np.float32).reshape(-1)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), made], names=[*keep, to])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in there.drop("__text").schema.fields)
     return there.mapInArrow(run, f"{schema}, {to} array<float>")

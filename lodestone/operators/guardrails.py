@@ -145,3 +145,21 @@ def grounding(answer: Column, source: Column, compose: bool = False) -> Column:
         return F.when((x["a"] == "") | (x["s"] == ""), result(False, F.lit(0.0))).when(F.contains(x["s"], x["a"]), result(True, F.lit(1.0))).otherwise(_bound(split, measured))
 
     return _bound(F.struct(text.normalize(answer, compose).alias("a"), text.normalize(source, compose).alias("s")), compared)
+
+
+def grounded(answer: str, source: str) -> tuple[bool, float]:
+    """grounding() of one answer, in Python."""
+    a, s = text.py_normalize(answer), text.py_normalize(source)
+    if not a or not s:
+        return False, 0.0
+    if a in s:
+        return True, 1.0
+    words, there = a.split(), s.split()
+    content, held = ([w for w in ws if len(w) >= 2 and w not in lexicons.GROUND_STOP] for ws in (words, there))
+    share = lambda xs, ys: sum(x in ys for x in xs) / len(xs) if xs else 0.0
+    t, c = share(words, set(there)), share(content, set(held))
+    if t >= 0.85 or not content:
+        return t >= 0.85, t
+    if c >= 0.80 and not set(zip(words, words[1:])).isdisjoint(zip(there, there[1:])):
+        return True, min(0.98, 0.65 * c + 0.35 * t if len(content) <= 3 else 0.60 * c + 0.40 * t)
+    return False, min(1.0, 0.55 * t + 0.45 * c)

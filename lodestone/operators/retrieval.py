@@ -133,6 +133,11 @@ def strategy_filter(candidates: DataFrame, strategy: str | None, query: str = "q
     return candidates.withColumn("__any", any_).filter(~F.col("__any") | hit).drop("__any")
 
 
+def parent_key(parent: str | None, doc: str, body: str) -> str:
+    """What dedupe() takes as one: the parent, or the document and the beginning of the text if there is none."""
+    return f"parent:{parent}" if parent else f"doc:{doc}:" + "".join(c for c in body[:100].lower() if c.isalnum())
+
+
 def dedupe(candidates: DataFrame, most: int = 3, query: str = "query_id", score: str = "final_score", order: str = "rank") -> DataFrame:
     """The best candidate of each parent document, with the strategies of all of them in order; most per query."""
     alone = F.concat(F.lit("doc:"), F.col("doc_id"), F.lit(":"), F.regexp_replace(F.lower(F.substring("text", 1, 100)), r"[^\p{L}\p{N}]", ""))

@@ -101,28 +101,21 @@ def _judge(pdf: pd.DataFrame) -> tuple:
     ranked = judging.rerank(asked, rows, RERANKED)
     best, strategies = {}, {}
     for c in ranked:
-        best.setdefault(c.doc_id, c)
-        strategies.setdefault(c.doc_id, []).append(c.strategy)
-    best = list(best.values())[:UNIQUE]
+        parent = retrieval.parent_key(c.doc_id, c.doc_id, c.text)
+        best.setdefault(parent, c)
+        strategies.setdefault(parent, []).append(c.strategy)
+    best = dict(list(best.items())[:UNIQUE])
+    sources = "; ".join(f"{c.doc_id} ({' + '.join(dict.fromkeys(strategies[key]))}, {c.final:.3f})" for key, c in best.items())
+    best = list(best.values())
     verdict = judging.coverage(asked, best)
-    sources = "; ".join(f"{c.doc_id} ({' + '.join(dict.fromkeys(strategies[c.doc_id]))}, {c.final:.3f})" for c in best)
     told = (sources, [c.chunk_ord for c in best], verdict.entity, verdict.coverage, verdict.relevance)
     if not verdict.passed:
         return (int(pdf["query_id"].iloc[0]), verdict.status, verdict.reason, False, judging.REFUSAL, verdict.confidence, *told)
     answer = judging.extract(asked, best)
-    status, grounded, confidence = judging.settle(verdict, answer, _grounded(answer))
+    status, grounded, confidence = judging.settle(verdict, answer, guardrails.grounded(answer.text, answer.source)[0])
     return (int(pdf["query_id"].iloc[0]), status, None if status == "PASSED" else "grounding_failed", grounded, answer.text, confidence, *told)
 
 
-def _grounded(answer: judging.Answer) -> bool:
-    """Whether the answer's words are the source's: sentences taken from it are, word for word or nearly."""
-    a, s = text.py_normalize(answer.text), text.py_normalize(answer.source)
-    if not a or not s:
-        return False
-    words, there = a.split(" "), set(s.split(" "))
-    return a in s or sum(w in there for w in words) / len(words) >= 0.85
-
-
 def answer(queries: DataFrame, index: Index, strategy: str | None = None, compose: bool = False) -> DataFrame:
     """One row for each query (query_id long, query): status, reason, grounded, answer, confidence, sources and scores."""
     guarded = queries.select("query_id", text.strip(F.coalesce("query", F.lit(""))).alias("query")).withColumn("guard", guardrails.input_guard(F.col("query"), compose))

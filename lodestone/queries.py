@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicons, text
 from .operators import chunking, embedding, explorer, grounding_pairs, guardrails, measures, retrieval
+from .plans import evaluate
+from .streaming import speech
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,8 +161,11 @@ def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, retrieval.Bm25]:
+    """Chunks and their postings, which are kept: the terms, and the next query of this session, are made of the same ones."""
     chunks = chunking.fixed(docs(spark, sf_dir))
-    return chunks, retrieval.bm25_build(chunks)
+    index = retrieval.bm25_build(chunks)
+    postings = index.postings.persist(StorageLevel.MEMORY_AND_DISK)
+    return chunks, retrieval.Bm25(postings, retrieval.bm25_terms(postings, index.stats), index.stats)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,10 +306,19 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basic.join(measures.percentiles(e, "value", {"p50": 0.5, "p70": 0.7, "p100": 1.0}, ["event_type"]), "event_type")
 
 
-@query("select user_id, count(*) filter (where event_type = 'click') as clicks, count(*) filter (where event_type = 'purchase') as purchases, count(*) filter (where event_type not in ('click', 'purchase')) as others, case when count(*) = 0 then 100.0 else round(100.0 * count(*) filter (where value > 50) / count(*), 1) end as high_rate from events group by 1")
+#: What stands for the reason of a refusal in the table of events; other types have none of the known ones.
+REFUSED = {"click": "off_topic_query", "purchase": "entity_mismatch", "view": "insufficient_coverage"}
+REPORT = "select count(*) as queries, round(100.0 * count(*) filter (correct) / count(*), 1) as accuracy, round(100.0 * count(*) filter (correct and answerable) / count(*) filter (answerable), 1) as answer_rate, round(100.0 * count(*) filter (correct and not answerable) / count(*) filter (not answerable), 1) as refusal_rate, " + ", ".join(f"count(*) filter (reason = '{r}') as {r}" for r in evaluate.REASONS) + f", count(*) filter (reason not in ({', '.join(repr(r) for r in evaluate.REASONS)})) as other_reasons"
+
+
+@query(f"{REPORT} from (select value <= 50 as answerable, event_id % 3 <> 0 as correct, case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in REFUSED.items())} else event_type end as reason from events)")
 def refusal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "purchase").alias("purchases"), F.count_if(~kind.isin("click", "purchase")).alias("others"), measures.rate(F.col("value") > 50, F.lit(True), 100.0).alias("high_rate"))
+    """The report of an evaluation whose judged answers are made of the events."""
+    reason = F.col("event_type")
+    for kind, name in REFUSED.items():
+        reason = F.when(F.col("event_type") == kind, name).otherwise(reason)
+    events = table(spark, sf_dir, "events").select((F.col("value") <= 50).alias("answerable"), (F.col("event_id") % 3 != 0).alias("correct"), reason.alias("reason"))
+    return evaluate.report(events)
 
 
 @query(f"with {FIXED} select chunk_ord, doc_id || '_fixed_' || i as chunk_id, text from fixed order by chunk_ord limit 20 offset 40")
@@ -317,11 +332,11 @@ def explore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.search(chunks, "TION***").unionByName(explorer.search(chunks, "%%%")).select("chunk_ord", "text").distinct()
 
 
-@query("select user_id, min(ts) as started, max(ts) as ended, count(*) as frames from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by user_id order by ts, event_id) >= ts - interval 1 hour and lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour > ts then 0 else 1 end as fresh from events)) group by user_id, k")
+@query("select user_id, min(ts) as started, max(ts) as ended, count(*) as frames from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by user_id order by ts, event_id) >= ts - interval 1 hour and lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour > ts then 0 else 1 end as fresh from (select * from events where value * 12.0 > 600.0))) group by user_id, k")
 def vad_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    found = e.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("frames"))
-    return found.select("user_id", "started", "ended", "frames")
+    """Speech segments: an event is a frame of its user's stream, its value the level."""
+    frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", (F.col("value") * 12.0).alias("level"))
+    return speech.segments(frames, "1 hour").withColumnRenamed("session", "user_id")
 
 
 GROUND = f"""g as (select b.item_id, d.doc_id, {NORMAL.format('b.text')} as a, {NORMAL.format('d.text')} as s from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40),

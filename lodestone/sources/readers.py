@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -39,26 +39,28 @@ def _documents(rows: DataFrame, limit: int, title: str, prefix: str, source: str
     ).filter(F.col("text").isNotNull())
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Adds ord, the row's number among all in the order of the partitions, from 0 and without gaps.
+
+    Each partition's rows are numbered by themselves; what goes before a partition comes from a table of one row for each.
+    """
+    there = df.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = there.groupBy("__p").agg((F.max("__i") + 1).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    return there.join(F.broadcast(starts), "__p").withColumn("ord", (F.col("__start") + F.col("__i")).cast("long")).drop("__at", "__p", "__i", "__start")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, record) of one file's lines in order; blank lines and values that are not objects are passed over.
+    """(ord, record) of one file's lines in order; blank lines and values that are not objects are passed over, but numbered.
 
-    Lines are numbered by their file's partitions, each numbered by itself; a line that is not JSON raises BadRecord.
+    A line that is not JSON raises BadRecord.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__at"))
-    lines = lines.withColumn("__p", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1))
-    sizes = {r["__p"]: r["n"] for r in lines.groupBy("__p").agg(F.max("__i").alias("n")).collect()}
-    start, at = {}, 0
-    for p in sorted(sizes):
-        start[p], at = at, at + sizes[p] + 1
-    base = F.lit(0)
-    for p, s in start.items():
-        base = F.when(F.col("__p") == p, F.lit(s)).otherwise(base)
-    numbered = lines.withColumn("line", (base + F.col("__i") + 1).cast("long")).filter(F.trim("value") != "")
-    bad = numbered.filter(F.try_parse_json("value").isNull()).orderBy("line").select("line").first()
-    if bad:
-        raise BadRecord(f"line {bad['line']} of {path} is not valid JSON")
-    objects = numbered.filter(F.trim("value").startswith("{"))
-    return objects.select((F.col("line") - 1).alias("ord"), F.trim("value").alias("record"))
+    numbered = _numbered(spark.read.text(path).select("value")).filter(F.trim("value") != "")
+    bad = numbered.filter(F.try_parse_json("value").isNull()).agg(F.min("ord").alias("ord")).first()
+    if bad["ord"] is not None:
+        raise BadRecord(f"line {bad['ord'] + 1} of {path} is not valid JSON")
+    return numbered.filter(F.trim("value").startswith("{")).select("ord", F.trim("value").alias("record"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +80,7 @@ def read_documents(spark: SparkSession, path: str, limit: int = 0, title: str =
     """Documents (id, ord, title, text, language, source, query) by the file's extension. limit: records, all if not positive."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "parquet":
-        df = spark.read.parquet(path)
-        rows = df.select(F.monotonically_increasing_id().alias("ord"), F.to_json(F.struct("*")).alias("record"))
+        rows = _numbered(spark.read.parquet(path).select(F.to_json(F.struct("*")).alias("record")))
     elif kind == "jsonl":
         rows = read_jsonl(spark, path)
     elif kind == "json":
@@ -89,6 +90,18 @@ def read_documents(spark: SparkSession, path: str, limit: int = 0, title: str =
     return _documents(rows, limit, title, prefix, source)
 
 
-def dataset_info(docs: DataFrame) -> DataFrame:
-    """Documents by language."""
-    return docs.groupBy("language").agg(F.count("*").alias("documents"))
+def dataset_info(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Documents by language, with the number of all and the path they are from."""
+    by = docs.groupBy("language").agg(F.count("*").alias("documents"))
+    total = by.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("total"))
+    return by.crossJoin(F.broadcast(total)).withColumn("path", F.lit(path).cast("string"))
+
+
+def resolve(spark: SparkSession, asked: str | None, folders: list[str], names: list[str]) -> str:
+    """The path that is asked for, alone or in one of the folders; if none is, the first of names in a folder. Any file system of Spark's."""
+    tried = [asked, *(f"{f.rstrip('/')}/{asked}" for f in folders)] if asked else [f"{f.rstrip('/')}/{n}" for f in folders for n in names]
+    for candidate in tried:
+        path = spark._jvm.org.apache.hadoop.fs.Path(candidate)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return candidate
+    raise FileNotFoundError("no dataset at " + ", ".join(tried))

@@ -115,3 +115,73 @@ def test_speech_stream(spark, tmp_path):
     q.stop()
     got = [r.event for r in spark.table("speech_out").filter("session = 's'").orderBy("ts", F.col("event").desc()).collect()]
     assert got == ["audio_level", "START_SPEECH", "audio_level", "END_SPEECH"]
+
+
+def test_records_are_numbered_over_all_partitions(spark, tmp_path):
+    """Also where there are hundreds: numbers have no gaps, a limit reaches over partitions, and chunks keep an order."""
+    from lodestone.operators import chunking
+    from lodestone.sources import readers
+
+    path = str(tmp_path / "d.parquet")
+    spark.range(4000).selectExpr("concat('t ', id) as text", "concat('i', id) as id").repartition(300).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        docs = readers.read_documents(spark, path)
+        assert docs.rdd.getNumPartitions() >= 300
+        assert sorted(r.ord for r in docs.collect()) == list(range(4000))
+        assert readers.read_documents(spark, path, limit=1000).count() == 1000
+        assert chunking.fixed(docs).select("chunk_ord").distinct().count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    info = readers.dataset_info(docs, path).collect()
+    assert [(r.language, r.documents, r.total, r.path) for r in info] == [("unknown", 4000, 4000, path)]
+    assert readers.resolve(spark, "d.parquet", ["/nowhere", str(tmp_path)], []) == path == readers.resolve(spark, None, [str(tmp_path)], ["x.json", "d.parquet"])
+    with pytest.raises(FileNotFoundError):
+        readers.resolve(spark, "e.parquet", [str(tmp_path)], [])
+
+
+def test_grounding_in_python_as_in_columns(spark):
+    """All branches: inside, by words, by content words and a pair (few and many), and none."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import guardrails
+
+    source = "Panaji is the capital of Goa and the river Mandovi flows beside the old market near the church of the town"
+    answers = ["the capital of Goa", "capital Goa Panaji river market", "Goa capital of it", "river Mandovi flows beside it with a boat", "river Mandovi flows beside old market near church it has some more as we all say here", "boats in Delhi", "of the", "", "market old near Goa capital Panaji flows"]
+    rows = spark.createDataFrame([(a, source) for a in answers] + [("x", "")], "a string, s string").select("a", "s", guardrails.grounding(F.col("a"), F.col("s")).alias("g")).collect()
+    for r in rows:
+        passed, confidence = guardrails.grounded(r.a, r.s)
+        assert (r.g.passed, round(r.g.confidence, 9)) == (passed, round(confidence, 9))
+    assert {r.g.passed for r in rows} == {True, False}
+
+
+def plain_vector(text):
+    """The embedding feature by feature."""
+    import numpy as np
+
+    from lodestone.operators import embedding as e
+
+    v, tokens = np.zeros(e.DIM), e.py_tokens(text)
+    for i, t in enumerate(tokens):
+        h, s = e.py_hash32(t, e.TOKEN_SEED), e.py_hash32(t, e.SIGN_SEED)
+        v[h % e.DIM] += e.FIRST if s & 1 else -e.FIRST
+        v[(h >> 8) % e.DIM] += e.SECOND if s & 2 else -e.SECOND
+        for k in range(len(t) - 2):
+            h = e.py_hash32(t[k : k + 3], e.TRIGRAM_SEED)
+            v[h % e.DIM] += e.TRIGRAM if h & 4 else -e.TRIGRAM
+        if i + 1 < len(tokens):
+            h = e.py_hash32(f"{t}_{tokens[i + 1]}", e.PAIR_SEED)
+            v[h % e.DIM] += e.PAIR if h & 8 else -e.PAIR
+    norm = np.sqrt((v * v).sum())
+    return v / norm if norm else v
+
+
+def test_vectors_against_single_features(spark, data):
+    import numpy as np
+
+    from lodestone.operators import embedding
+
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(60).collect()] + ["", "a", "ab cd", "नमस्ते दुनिया 漢字 🙂x 𝒜bc", "x" * 300, "same same same"]
+    assert np.allclose(embedding.vectors(texts), [plain_vector(t) for t in texts], atol=1e-9)
