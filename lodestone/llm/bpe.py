@@ -1,9 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task takes the distinct pieces of the texts it holds as one small corpus. An inverted index has, for each mergeable
-pair of neighbouring tokens, the positions where the pair stands; merges are applied in the order of their ranks, at
-all positions at once, and only the two neighbours of a merged pair are entered anew. The tokens of a piece do not
-depend on the other pieces, so what a worker has replayed once it keeps (up to a bound) for the later texts.
+The corpus of a replay is the distinct pieces of a slice of a task's texts (SLICE characters or so, which bounds the
+memory) that the worker has not kept from before. An inverted index has, for each mergeable pair of neighbouring tokens,
+the positions where the pair stands; merges are applied in the order of their ranks, at all positions at once, and only
+the two neighbours of a merged pair are entered anew. The tokens of a piece do not depend on the other pieces, so what a
+worker has replayed, and has met again, it keeps (up to a bound) for the later texts.
 
 encode(): adds `ids`, an array of ints. A null or empty text has no ids. decode(): adds `decoded`, the bytes of ids;
 null ids give empty bytes. Columns that the input already has under these names are replaced; all others stay.

@@ -38,10 +38,18 @@ def trigrams(text: str) -> np.ndarray:
     letters = _gap.sub(" ", text.lower()).strip()
     if not letters:
         return np.zeros(0, dtype=np.int64)
-    b = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8).astype(np.int64)
+    b = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8).astype(np.int32)  # sums stay below 2**24
     return (b[:-2] * 40503 + b[1:-1] * 9973 + b[2:] * 257) % 65521 % BUCKETS
 
 
+def mean_logs(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The mean of the table's rows at, which for a long text are counted first, so memory does not follow text and languages."""
+    if len(at) < BUCKETS // 16:
+        return table[at].sum(axis=0, dtype=np.float64) / len(at)
+    n = np.bincount(at)
+    return n.astype(np.float64) @ table[: len(n)] / len(at)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -90,7 +98,7 @@ def likelihoods(df: DataFrame, model: Model, text: str = "text", keep: list[str]
             for x in batch.column("__text"):
                 at = trigrams(x.as_py() or "")
                 n.append(len(at))
-                means.append((table[at].sum(axis=0, dtype=np.float64) / len(at) if len(at) else np.zeros(table.shape[1])).tolist())
+                means.append((mean_logs(table, at) if len(at) else np.zeros(table.shape[1])).tolist())
             new = [pa.array(n, pa.int64()), pa.array(means, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, *made])
 

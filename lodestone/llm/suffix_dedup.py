@@ -1,14 +1,14 @@
 """Exact repeats of long byte strings by a logarithmic family of sparse suffix arrays.
 
 Documents come in batches. A batch's suffix array has one entry for each distinct block (see anchors): the hash of its
-anchor's string, the hash of the block, how often it occurs, and one place. It is a table sorted by anchor and block and
-bucketed by anchor. add() scans it together with the levels there are (entries of one anchor and block are repeats), and
-two levels of one size merge into the next, so an index of n batches has no more than log2(n) levels and each entry is
-rewritten log2(n) times.
-
-settle() judges the windows. A block that occurs twice is a repeat throughout; one whose anchor has no other block is
-unique throughout. Where one anchor has several blocks, their windows are compared,
-in pieces first and then, in pieces that share their core, one by one.
+anchor's string, the hash of the block, how often it occurs, and one place. It is a table sorted by these hashes, not by the
+suffixes' bytes, and bucketed by anchor. add() makes the batch's table; two levels of one size merge, in one scan of
+both, into the next, so an index of n batches has no more than log2(n) levels and each entry is rewritten log2(n) times.
+Matches between levels that have not merged are found once, by scan() over all levels together, after the last batch.
+
+Then windows are judged. A block that occurs twice is a repeat throughout; one whose anchor has no other block is
+unique throughout. Where one anchor has several blocks, their windows are compared, in pieces first and then, in pieces
+that share their core, one by one. All comparisons are of hashes: they are not verified on the bytes.
 """
 
 from __future__ import annotations
