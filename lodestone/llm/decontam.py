@@ -5,6 +5,8 @@ largest document: a short item inside a long document then shares bin minima wit
 The bins are leading bits of the shingle hash, so a minimum is told by its value alone, and an item's shingle that is
 the least of its bin stays so in every partition with finer bins. The number of bins follows from the smallest item and
 the chance MISS that an item at the threshold shares no minimum; small items get so many bins that no shingle is hidden.
+Items of fewer than five words do not count there: only documents of one shingle can have them, and the one shingle of
+these is their minimum with any number of bins.
 
 Document minima are looked up among the items' minima in the scan itself; the documents that share one are verified
 there by the exact share of the item's distinct shingles that they have. Only pairs are shuffled. Item tables over
@@ -20,10 +22,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, shingle_hashes
+from .common import SHINGLE_WORDS, ascii_lower, shingle_hashes, words
 
 WORD = r"[^\x20\x09-\x0D]"
 THRESHOLD, MISS, BROADCAST_ROWS = 0.8, 1e-6, 1_000_000
+#: Extra bits at least, and where all items are of fewer than five words.
+FEWEST = -4
 
 
 def bin_bits(smallest: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -33,7 +37,7 @@ def bin_bits(smallest: int, threshold: float = THRESHOLD, miss: float = MISS) ->
     them are shared.
     """
     shared = max(1, math.ceil(threshold * smallest))
-    for bits in range(-4, 40):
+    for bits in range(FEWEST, 40):
         x = 2.0**-bits
         if (1 - (1 - math.exp(-x)) / x) ** shared <= miss:
             return bits
@@ -53,10 +57,12 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key:
     containment. Items of one id and different texts are items of their own that share the id.
     """
     own = shingle_hashes(items.select(F.col(item).alias("__item"), F.col(text).cast("string").alias("__text")).filter(F.col("__text").rlike(WORD)), "__text", "__i")
-    own = own.select("__item", F.sort_array(F.array_distinct("__i")).alias("__i")).distinct()
+    many = F.size(words(ascii_lower(F.col("__text")))) >= SHINGLE_WORDS
+    own = own.select("__item", F.sort_array(F.array_distinct("__i")).alias("__i"), many.alias("__many")).distinct()
     own = own.withColumn("__no", F.xxhash64("__item", "__i"))
-    stats = own.agg(F.min(F.size("__i")).alias("least"), F.sum(F.size("__i")).alias("rows")).first()
-    bits = bin_bits(stats["least"] or 1, threshold)
+    stats = own.agg(F.min(F.when(F.col("__many"), F.size("__i"))).alias("least"), F.sum(F.size("__i")).alias("rows")).first()
+    own = own.drop("__many")
+    bits = bin_bits(stats["least"], threshold) if stats["least"] else FEWEST
     # __p: the least partition in whose bins the shingle is the least of its item.
     place = f"""transform(__i, (x, i) -> named_struct('h', x, 'p', case when i = 0 or shiftright(x, 63) != shiftright(__i[i - 1], 63) then 0
         else greatest(0, cast(65 - length(bin(x ^ __i[i - 1])) - {bits} as int)) end))"""

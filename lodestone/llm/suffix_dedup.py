@@ -41,7 +41,10 @@ def bucketed(df: DataFrame, by: str, sort: list[str], n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"lodestone_{uuid.uuid4().hex}"
     df.write.format("parquet").option("path", table_path(spark, "buckets")).bucketBy(n, by).sortBy(*sort).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    # What was read from the catalog stays in the frame's plan, buckets too; the files are not the catalog's.
+    spark.sql(f"drop table {name}")
+    return table
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:

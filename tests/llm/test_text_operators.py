@@ -135,6 +135,17 @@ def test_small_items_in_long_documents(spark):
     assert sorted((r.doc_id, r.item_id, r.containment) for r in found.collect()) == [(i, i, 1.0) for i in range(5)]
 
 
+def test_items_of_few_words_ask_for_no_bins(spark):
+    """A short item beside long ones, and short ones alone, are found in the documents of just their words."""
+    long = " ".join(f"item{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "Tiny item"), (2, f"before {long} after"), (3, "a tiny item in more words than five"), (4, None), (5, "tiny"), (6, "tiny item tiny item tiny item")], "doc_id long, text string")
+    items = [(1, "tiny item"), (2, long), (3, "tiny"), (4, ""), (5, None)]
+    for some, want in ((items, {(1, 1), (2, 2), (5, 3)}), ([items[0], items[2]], {(1, 1), (5, 3)})):
+        for limit in (decontam.BROADCAST_ROWS, 0):
+            found = decontam.search(docs, spark.createDataFrame(some, "item_id long, text string"), broadcast_rows=limit)
+            assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_word_pieces_against_greedy_matching(spark, odd):
     path = P.path("word_bpe_49k.json")
     w = wordpiece.WordPieces(path)
