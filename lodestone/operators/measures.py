@@ -27,12 +27,23 @@ def rate(hit: Column, of: Column, empty: float) -> Column:
     return F.when(F.count_if(of) == 0, F.lit(empty)).otherwise(F.round(100.0 * F.count_if(hit & of) / F.count_if(of), 1))
 
 
+def stride_places(n: int, count: int, seed: int = 42) -> list[int]:
+    """min(count, n) ordinals: those at floor(i * n / count + seed) modulo n; where two are the same, the first free ones fill up."""
+    count = max(0, min(count, n))
+    places = {int(i * (n / count) + seed) % n for i in range(count)}
+    at = 0
+    while len(places) < count:
+        places.add(at)
+        at += 1
+    return sorted(places)
+
+
 def stride_sample(df: DataFrame, ordinal: str, n: int, count: int, seed: int = 42) -> DataFrame:
-    """Of n rows numbered by ordinal, those at floor(i * n / count + seed) modulo n."""
-    step = n / count if count else 1.0
-    places = sorted({int(i * step + seed) % n for i in range(count)}) if n else []
-    spark = df.sparkSession
-    return df.join(F.broadcast(spark.createDataFrame([(p,) for p in places], f"{ordinal} long")), ordinal, "left_semi")
+    """Of n rows numbered by ordinal from 0, count spread over all (see stride_places); all of them if count is n or more."""
+    if count >= n:
+        return df
+    places = df.sparkSession.createDataFrame([(p,) for p in stride_places(n, count, seed)], f"{ordinal} long")
+    return df.join(F.broadcast(places), ordinal, "left_semi")
 
 
 def signature(chunks: DataFrame) -> DataFrame:

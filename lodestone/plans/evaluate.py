@@ -42,3 +42,9 @@ def report(judged_: DataFrame) -> DataFrame:
 
 def by_category(judged_: DataFrame) -> DataFrame:
     return judged_.groupBy("category").agg(F.count("*").alias("queries"), measures.rate(F.col("correct"), F.lit(True), 0.0).alias("accuracy"))
+
+
+def write_report(judged_: DataFrame, path: str) -> None:
+    """Stores a run as JSON in two folders under path: report (one row) and queries (each query with its judgement)."""
+    report(judged_).write.mode("overwrite").json(f"{path}/report")
+    judged_.write.mode("overwrite").json(f"{path}/queries")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +101,31 @@ def dataset_info(docs: DataFrame, path: str | None = None) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).withColumn("path", F.lit(path).cast("string"))
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Little-endian 32-bit floats, dim for each vector."""
+    for batch in batches:
+        for dim, n, raw in zip(batch.column("dim").to_pylist(), batch.column("n").to_pylist(), batch.column("raw"), strict=True):
+            flat = np.frombuffer(raw.as_buffer(), dtype="<f4", count=n * dim)
+            for at in range(0, n, 4096):
+                part = flat[at * dim : (at + 4096) * dim]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) // dim + 1, dtype=np.int32) * dim), pa.array(part))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(lists))), lists], names=["chunk_ord", "embedding"])
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_ord, embedding) of a stored vector index: one JSON object with dim, numVectors, and vectorsBase64 or vectorsArray.
+
+    Base64 goes before an array; an index with neither has no vectors. Too few numbers for numVectors and dim raise an error.
+    """
+    stored = spark.read.schema("dim int, numVectors int, vectorsBase64 string, vectorsArray array<array<float>>").json(path, multiLine=True)
+    packed = F.nullif("vectorsBase64", F.lit(""))
+    raw = stored.filter(packed.isNotNull()).select("dim", F.col("numVectors").alias("n"), F.unbase64(packed).alias("raw"))
+    listed = stored.filter(packed.isNull() & F.col("vectorsArray").isNotNull()).select("dim", "numVectors", F.posexplode("vectorsArray").alias("chunk_ord", "embedding"))
+    fits = F.assert_true(F.size("embedding") == F.col("dim"), F.lit("a vector is not of the index's dimension"))
+    listed = listed.filter("chunk_ord < numVectors").filter(fits.isNull()).select(F.col("chunk_ord").cast("long"), "embedding")
+    return raw.mapInArrow(_vectors, "chunk_ord long, embedding array<float>").unionByName(listed)
+
+
 def resolve(spark: SparkSession, asked: str | None, folders: list[str], names: list[str]) -> str:
     """The path that is asked for, alone or in one of the folders; if none is, the first of names in a folder. Any file system of Spark's."""
     tried = [asked, *(f"{f.rstrip('/')}/{asked}" for f in folders)] if asked else [f"{f.rstrip('/')}/{n}" for f in folders for n in names]

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -80,6 +80,19 @@ def leveled(frames: DataFrame) -> DataFrame:
     return frames.withColumn("level", level)
 
 
+def control_events(messages: DataFrame, language: str = "unknown") -> DataFrame:
+    """(session, ts, event, streaming, language) of text messages (session, ts, message): start and stop, as JSON under type.
+
+    start may name the session's language, which holds until another does; before any, it is the one given. Messages that
+    are not JSON objects, or of another type, are passed over. Of one session and time, start comes before stop.
+    """
+    read = F.from_json("message", "type string, language string")
+    found = messages.select("session", "ts", read.alias("m")).filter(F.col("m.type").isin("start", "stop"))
+    named = F.when(F.col("m.type") == "start", F.nullif("m.language", F.lit("")))
+    so_far = Window.partitionBy("session").orderBy("ts", "m.type").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select("session", "ts", F.col("m.type").alias("event"), (F.col("m.type") == "start").alias("streaming"), F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.lit(language)).alias("language"))
+
+
 def answer_stream(queries: DataFrame, index: Index, sink, checkpoint: str):
     """Starts a stream that answers queries (query_id, query) batch by batch; sink(df, batch_id) takes the answers."""
     return queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(answer(df, index), n)).start()

@@ -1,5 +1,7 @@
+import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,33 @@ def test_readers(spark, tmp_path):
     assert readers.dataset_info(readers.read_documents(spark, str(lines))).count() == 2
 
 
+def test_stored_vectors(spark, tmp_path):
+    want = [(0, [1.0, -2.5]), (1, [0.25, 0.0]), (2, [3.0, 4.0])]
+    flat = np.array([v for _, v in want], dtype="<f4")
+    for name, kept in (("b", {"vectorsBase64": base64.b64encode(flat.tobytes()).decode()}), ("l", {"vectorsArray": flat.tolist()}), ("n", {})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({"dim": 2, "numVectors": 3, **kept}, indent=1))
+        got = [(r.chunk_ord, r.embedding) for r in readers.read_vectors(spark, str(path)).orderBy("chunk_ord").collect()]
+        assert got == (want if kept else [])
+    (tmp_path / "short.json").write_text(json.dumps({"dim": 2, "numVectors": 9, "vectorsBase64": base64.b64encode(flat.tobytes()).decode()}))
+    with pytest.raises(Exception, match="buffer"):
+        readers.read_vectors(spark, str(tmp_path / "short.json")).collect()
+
+
+def test_reports_are_stored(spark, tmp_path):
+    rows = [(1, "a", True, "PASSED", None, True), (2, "a", True, "REFUSED", "grounding_failed", False), (3, "b", False, "REFUSED", "odd", True)]
+    evaluate.write_report(spark.createDataFrame(rows, "query_id long, category string, answerable boolean, status string, reason string, correct boolean"), str(tmp_path))
+    stored = spark.read.json(str(tmp_path / "report")).first()
+    assert (stored.queries, stored.accuracy, stored.answer_rate, stored.refusal_rate, stored.grounding_failed, stored.other_reasons) == (3, 66.7, 50.0, 100.0, 1, 1)
+    assert spark.read.json(str(tmp_path / "queries")).count() == 3
+
+
+def test_control_events(spark):
+    said = [("s", 1, '{"type": "start"}'), ("s", 2, '{"type": "start", "language": "hi"}'), ("s", 3, "not json"), ("s", 4, '{"type": "stop", "language": "en"}'), ("s", 5, '{"type": "other"}'), ("s", 6, '{"type": "start"}'), ("t", 1, '{"type": "stop"}'), ("t", 2, None)]
+    got = [(r.session, r.ts, r.event, r.streaming, r.language) for r in speech.control_events(spark.createDataFrame(said, "session string, ts long, message string"), "en").orderBy("session", "ts").collect()]
+    assert got == [("s", 1, "start", True, "en"), ("s", 2, "start", True, "hi"), ("s", 4, "stop", False, "hi"), ("s", 6, "start", True, "hi"), ("t", 1, "stop", False, "en")]
+
+
 def test_speech_steps():
     frames = [(0, 600), (100, 601), (200, 3000), (1600, 0), (1601, 0), (1700, 700)]
     open_, last, out = False, 0.0, []

@@ -103,3 +103,19 @@ def test_percentile_takes_the_upper_rank(spark):
     assert df.agg(measures.upper_percentile("v", 0.5)).first()[0] == 4.0
     assert measures.percentiles(df, "v", {"a": 0.5, "b": 0.7, "c": 1.0}).first() == (4.0, 4.0, 5.0)
     assert measures.stride_sample(spark.range(10).withColumnRenamed("id", "n"), "n", 10, 5, 1).count() == 5
+
+
+@pytest.mark.parametrize(("n", "count", "want"), [(10, 5, [0, 2, 4, 6, 8]), (3, 2, [0, 1]), (7, 7, list(range(7))), (4, 9, list(range(4))), (5, 0, []), (0, 3, [])])
+def test_stride_places(n, count, want):
+    assert measures.stride_places(n, count, 42) == want
+
+
+def test_stride_places_are_as_many_as_asked():
+    for n in range(1, 40):
+        for count in range(n + 1):
+            for seed in (0, 1, 42, 10**9):
+                assert len(set(measures.stride_places(n, count, seed))) == count
+
+
+def test_a_whole_sample_is_the_table(spark):
+    assert measures.stride_sample(spark.range(3).withColumnRenamed("id", "n"), "n", 3, 8).count() == 3
