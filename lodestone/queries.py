@@ -339,7 +339,7 @@ def vad_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.segments(frames, "1 hour").withColumnRenamed("session", "user_id")
 
 
-GROUND = f"""g as (select b.item_id, d.doc_id, {NORMAL.format('b.text')} as a, {NORMAL.format('d.text')} as s from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40),
+GROUND = f"""g as (select b.item_id, d.doc_id, {NORMAL.format('b.text')} as a, {NORMAL.format('d.text')} as s from benchmark b cross join documents d),
     h as (select *, list_filter(string_split(a, ' '), lambda w: w <> '') as aw, list_filter(string_split(s, ' '), lambda w: w <> '') as sw from g),
     k as (select *, list_filter(aw, lambda w: length(w) >= 2 and not list_contains({quoted(lexicons.GROUND_STOP)}, w)) as ac, list_filter(sw, lambda w: length(w) >= 2 and not list_contains({quoted(lexicons.GROUND_STOP)}, w)) as sc from h),
     m as (select *, len(list_filter(aw, lambda w: list_contains(sw, w))) / len(aw) as t, case when len(ac) = 0 then 0 else len(list_filter(ac, lambda w: list_contains(sc, w))) / len(ac) end as c,
@@ -349,15 +349,8 @@ GROUND = f"""g as (select b.item_id, d.doc_id, {NORMAL.format('b.text')} as a, {
 @query(f"""with {GROUND} select item_id, doc_id, a <> '' and s <> '' and (contains(s, a) or t >= 0.85 or (c >= 0.8 and pair and len(ac) > 0)) as passed,
     round(case when a = '' or s = '' then 0 when contains(s, a) then 1 when t >= 0.85 then t when len(ac) = 0 then t when c >= 0.8 and pair and len(ac) <= 3 then least(0.98, 0.65 * c + 0.35 * t)
     when c >= 0.8 and pair then least(0.98, 0.6 * c + 0.4 * t) else least(1, 0.55 * t + 0.45 * c) end, 4) as confidence from m""")
-def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
-    pairs = d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return pairs.withColumn("g", guardrails.grounding(F.col("a"), F.col("s"))).select("item_id", "doc_id", "g.passed", F.round("g.confidence", 4).alias("confidence"))
-
-
-@query()
 def grounding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark answer against every document; grounding_check has those of equal residue modulo 40."""
+    """Every benchmark answer against every document."""
     found = grounding_pairs.every_pair(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
     return found.select("item_id", "doc_id", "passed", F.round("confidence", 4).alias("confidence"))
 

@@ -32,4 +32,4 @@ def test_documents_of_any_residue(spark, tmp_path):
     spark.createDataFrame([(2, "a whale in deep cold water"), (41, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.doc_id, r.passed) for r in engine.QUERIES["grounding_all"](spark, str(tmp_path)).collect()}
     assert found == {(2, True), (41, False)}
-    assert {r.doc_id for r in engine.QUERIES["grounding_check"](spark, str(tmp_path)).collect()} == {41}
+    assert "grounding_check" not in engine.QUERIES and "%" not in engine.ORACLE["grounding_all"]
