@@ -267,22 +267,23 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     rows = written(_signed(df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("__text"))), "signatures")
-    nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.min("__same").alias("__same")), "nodes")
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
+    nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("size").alias("size"), first), "nodes")
     classes = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(CLASS)).cast("int")
     found = _joined(links(nodes.select("node", "words", classes.alias("s")), radius, tile, steps=[1]))
     near = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
     # One text of each node goes to the tiles of its group.
     tiles = near.groupBy("root").agg(F.ceil(F.count("*") / compared).cast("int").alias("tiles"))
-    asked = near.join(tiles, "root").join(nodes.select("node", "__same"), "node")
-    asked = written(asked.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.col("__same").alias("__asked")), "asked")
-    texts = df.select(same.alias("__same"), raw.alias("text")).join(asked, F.col("__same") == F.col("__asked")).dropDuplicates(["node"])
+    asked = near.join(tiles, "root").join(nodes.select("node", "first"), "node")
+    asked = written(asked.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.col("first.key").alias("__asked"), F.col("first.same").alias("__as")), "asked")
+    # By key and text: of many copies of a text one row is joined, not all.
+    texts = df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("text")).join(asked, F.col("__key").eqNullSafe(F.col("__asked")) & (F.col("__same") == F.col("__as"))).dropDuplicates(["node"])
     dealt = texts.select("node", "text", "root", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("t"))
     dealt = dealt.select("node", "text", "root", F.least("tile", "t").alias("one"), F.greatest("tile", "t").alias("other"))
     linked = components(dealt.groupBy("root", "one", "other").applyInPandas(_compare, "u long, v long"))
     roots = nodes.select("node").join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("root", "node").alias("root"))
-    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
     # Rows of a node are reduced before the join, so copies are not joined one by one.
-    least = rows.groupBy("node").agg(first).join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
+    least = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(least.select(F.col("first.key").alias("__key"), F.col("first.same").alias("__same")), "chosen")
     twice = rows.join(chosen, rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"]), "left_semi").groupBy("__key", "__same").count().filter("count > 1").isEmpty()
     for done in (rows, nodes, near, asked):
