@@ -106,12 +106,40 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.metadata(docs(spark, sf_dir)).select("chunk_id", "text", "word_count")
 
 
-@query()
+#: From sentence a, a chunk has two sentences if these have 15 words, else three; the last one what is left.
+SENTENCE = f"""s as (select doc_id, {SENTENCES} as s from documents),
+    sw as (select doc_id, s, list_transform(s, lambda x: len({sql_words('x')})) as n from s where len(s) > 0),
+    sc as (select doc_id, s, n, 0 as i, 1 as a, least(len(n), case when n[1] + n[2] >= 15 then 2 else 3 end) as z from sw
+        union all select doc_id, s, n, i + 1, z + 1, least(len(n), z + case when n[z + 1] + n[z + 2] >= 15 then 2 else 3 end) from sc where z < len(n)),
+    sent as (select doc_id, i, array_to_string(s[a:z], ' ') as text, list_sum(n[a:z]) as n from sc)"""
+
+
+@query(f"with recursive {SENTENCE} select doc_id || '_sent_' || i as chunk_id, text, cast(n as integer) as word_count, cast(length(text) as integer) as char_count from sent")
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sentence(docs(spark, sf_dir)).select("chunk_id", "text", "word_count", "char_count")
 
 
-@query()
+TERMS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({{}}), '[^\\p{{{{L}}}}\\p{{{{N}}}}{S.replace('{', '{{').replace('}', '}}')}]', '', 'g'), '[{S.replace('{', '{{').replace('}', '}}')}]+'), lambda w: length(w) > 2))"
+OPENS = "(" + " or ".join(f"starts_with(lower(x), '{t}')" for t in lexicons.TRANSITIONS) + ")"
+#: Sentences are folded to units with the words seen in each (alone: a paragraph of one sentence, taken as it is), then units to chunks.
+SEMANTIC = f"""ps as (select doc_id, p, t, {SENTENCES.replace('text,', 't,')} as s from
+        (select doc_id, p, {sql_strip('t')} as t from (select doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) as t, unnest(range(len(regexp_split_to_array(text, '\\n\\s*\\n')))) as p from documents)) where t <> ''),
+    pw as (select doc_id, p, case when len(s) <= 1 then [t] else s end as s from ps),
+    xs as (select doc_id, p, unnest(s) as x, unnest(range(len(s))) as k from pw),
+    xt as (select *, {TERMS.format('x')} as terms, len({sql_words('x')}) as n, {OPENS} as opens from xs),
+    fold as (select doc_id, p, k, 0 as u, terms as seen, n from xt where k = 0
+        union all select doc_id, p, k, u + cast(cut as integer), case when cut then terms else list_distinct(list_concat(seen, terms)) end, n2 + case when cut then 0 else n1 end from
+            (select f.doc_id, f.p, f.u, f.seen, f.n as n1, x.n as n2, x.k, x.terms,
+                f.n >= 30 and (x.opens or len(list_intersect(f.seen, x.terms)) < 0.05 * (len(f.seen) + len(x.terms) - len(list_intersect(f.seen, x.terms))) or len(f.seen) + len(x.terms) = 0) as cut
+            from fold f join xt x on x.doc_id = f.doc_id and x.p = f.p and x.k = f.k + 1)),
+    units as (select doc_id, row_number() over (partition by doc_id order by p, u) - 1 as k, string_agg(x, ' ' order by k) as x, sum(n) as n
+        from (select f.doc_id, f.p, f.u, f.k, x.x, x.n from fold f join xt x on x.doc_id = f.doc_id and x.p = f.p and x.k = f.k) group by doc_id, p, u),
+    held as (select doc_id, k, 0 as i, n from units where k = 0
+        union all select f.doc_id, u.k, f.i + cast(f.n + u.n > 80 as integer), u.n + case when f.n + u.n > 80 then 0 else f.n end from held f join units u on u.doc_id = f.doc_id and u.k = f.k + 1),
+    sem as (select h.doc_id, h.i, string_agg(u.x, ' ' order by h.k) as text from held h join units u on u.doc_id = h.doc_id and u.k = h.k group by h.doc_id, h.i)"""
+
+
+@query(f"with recursive {SEMANTIC} select doc_id || '_sem_' || i as chunk_id, text, cast(len({sql_words('text')}) as integer) as word_count, cast(length(text) as integer) as char_count from sem")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.semantic(docs(spark, sf_dir)).select("chunk_id", "text", "word_count", "char_count")
 
