@@ -7,6 +7,7 @@ here is plain Python over such a group; plans.answer brings it to the rows by Ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -199,7 +200,8 @@ def features(asked: Asked, c: Candidate) -> dict[str, float]:
 
 
 def rerank(asked: Asked, candidates: list[Candidate], top_k: int = 5) -> list[Candidate]:
-    """Scores the candidates and orders them: by score, then subject, entity, coverage and BM25."""
+    """Scores the candidates and orders them: by score, then subject and entity in the whole document, coverage and BM25."""
+    # The numbers below are fixed values: weights of the parts, bonuses, penalties and limits of the score.
     most = {k: max([1e-4, *(getattr(c, k) for c in candidates)]) for k in ("dense", "bm25", "rrf")}
     for c in candidates:
         f = c.features = features(asked, c)
@@ -216,7 +218,17 @@ def rerank(asked: Asked, candidates: list[Candidate], top_k: int = 5) -> list[Ca
         if lost and f["coverage"] < 0.25 and f["entity"] == 0:
             s = min(s, 0.04)
         c.final = min(1.0, max(0.0, s))
-    return sorted(candidates, key=lambda c: (-c.final, -c.features["subject"], -c.features["entity"], -c.features["coverage"], -c.bm25))[:top_k]
+    scores = Counter(c.final for c in candidates)
+
+    def order(c: Candidate) -> tuple:
+        if scores[c.final] == 1:
+            return (-c.final,)
+        # Not kept by evidence(): whole documents may be long.
+        e = Evidence(f"{c.title} {c.text} {c.parent_text}")
+        subject = e.share(asked.subjects, lambda t: t in e.words or e.has_token(t))
+        return (-c.final, -subject, -e.share(asked.entities, e.has_entity), -c.features["coverage"], -c.bm25)
+
+    return sorted(candidates, key=order)[: max(1, top_k)]
 
 
 @dataclass

@@ -144,10 +144,9 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.semantic(docs(spark, sf_dir)).select("chunk_id", "text", "word_count", "char_count")
 
 
-@query(f"with {FIXED}, {META} select 'fixed' as strategy, count(*) as chunks from fixed union all select 'metadata', count(*) from meta")
+@query(f"with recursive {FIXED}, {SENTENCE}, {SEMANTIC}, {META} select 'fixed' as strategy, count(*) as chunks from fixed union all select 'sentence', count(*) from sent union all select 'semantic', count(*) from sem union all select 'metadata', count(*) from meta")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return explorer.counts(chunking.fixed(d).unionByName(chunking.metadata(d))).filter("chunks > 0")
+    return explorer.counts(chunking.chunk(docs(spark, sf_dir)))
 
 
 HASH = "list_reduce(list_prepend(xor({seed}, length(w)), list_transform(string_split(w, ''), lambda c: cast(unicode(c) as bigint))), lambda h, c: xor((xor(h, c) * 1540483477) & 4294967295, ((xor(h, c) * 1540483477) & 4294967295) >> 15))"

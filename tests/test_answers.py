@@ -214,3 +214,13 @@ def test_vectors_against_single_features(spark, data):
 
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(60).collect()] + ["", "a", "ab cd", "नमस्ते दुनिया 漢字 🙂x 𝒜bc", "x" * 300, "same same same"]
     assert np.allclose(embedding.vectors(texts), [plain_vector(t) for t in texts], atol=1e-9)
+
+
+def test_equal_scores_are_settled_in_the_whole_document():
+    asked = judging.Asked("Where is the lighthouse of Velsao?")
+    filler = "word " * 400
+    make = lambda k, parent, bm25: judging.Candidate(k, str(k), "", "nothing of it", parent, "en", "fixed", 0.0, bm25, 0.0)
+    # Both lack the subject in what is scored; the second has it further on in its document; equal ones keep their places.
+    ranked = judging.rerank(asked, [make(1, filler, 0.0), make(2, filler + "the lighthouse of Velsao", 0.0), make(3, filler, 0.0)], 3)
+    assert len({c.final for c in ranked}) == 1
+    assert [c.chunk_ord for c in ranked] == [2, 1, 3]
