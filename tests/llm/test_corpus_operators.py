@@ -109,6 +109,22 @@ def test_interactions_that_weights_alone_miss():
     assert all((machine.score([1] * a + [2] * b + [3]) >= 0.5) == (a != b) for a in (0, 1) for b in (0, 1))
 
 
+def test_scores_against_a_plain_sum_over_pairs(spark, docs):
+    """The machine's formula as it is written, over words found without the operator's own functions."""
+    texts = [r.text or "" for r in docs.select("text").limit(60).collect()]
+    plain = lambda t: {zlib.crc32(w.encode()) % toxicity.BUCKETS for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()}
+    known = sorted(set().union(*map(plain, texts)))[::3]
+    rnd = np.random.default_rng(3)
+    machine = toxicity.Machine(-0.4, {f: i for i, f in enumerate(known)}, rnd.normal(0, 0.2, len(known)).astype(np.float32), rnd.normal(0, 0.1, (len(known), 8)).astype(np.float32))
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine, keep=["doc_id"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        at = [machine.place[f] for f in plain(texts[r.doc_id]) if f in machine.place]
+        margin = machine.bias + sum(float(machine.weights[i]) for i in at)
+        margin += sum(float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for i in at for j in at if i < j)
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-4
+
+
 def plain_fingerprint(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     h = [xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
