@@ -7,18 +7,22 @@ as a stream may just stop, a watermark closes what is open after GAP as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.answer import Index, answer
 
 THRESHOLD, FULL, GAP_MS = 600.0, 6000.0, 1400
 EVENTS = "session string, event string, ts timestamp, level double"
+#: Languages of a transcript where none is named, and the confidence of a service that gives none.
+ENGLISH, HINDI, UNNAMED, CONFIDENCE = "en-IN", "hi-IN", ("", "unknown", "auto"), 0.95
 
 
 def rms(pcm: bytes | None) -> float:
@@ -93,6 +97,36 @@ def control_events(messages: DataFrame, language: str = "unknown") -> DataFrame:
     return found.select("session", "ts", F.col("m.type").alias("event"), (F.col("m.type") == "start").alias("streaming"), F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.lit(language)).alias("language"))
 
 
+def transcribe(audio: DataFrame, recognise: Callable[[bytes, str, str], dict] | None = None, provider: str = "service") -> DataFrame:
+    """Adds transcript, spoken, latency_ms, provider and confidence to rows with audio (binary), mime and language, batch or stream.
+
+    recognise takes the bytes, their type (audio/wav unless given) and a language (English where none is named) and gives
+    a dict of transcript or text, language_code and confidence. Where there is no such function, or it fails for a row,
+    the row has the fallback: an empty transcript in Hindi or English, of provider "fallback" and confidence 0.
+    """
+    made = ["transcript", "spoken", "latency_ms", "provider", "confidence"]
+    kept = [f for f in audio.schema.fields if f.name not in made]
+
+    def one(sound: bytes | None, mime: str | None, asked: str) -> tuple:
+        began = time.perf_counter()
+        latency = lambda: round((time.perf_counter() - began) * 1000, 2)
+        if recognise is not None:
+            try:
+                got = recognise(bytes(sound or b""), mime or "audio/wav", ENGLISH if asked in UNNAMED else asked)
+                return got.get("transcript") or got.get("text") or "", got.get("language_code") or asked or ENGLISH, latency(), provider, float(got.get("confidence") or CONFIDENCE)
+            except Exception:  # whatever a service raises, the row has its fallback
+                pass
+        return "", HINDI if asked == HINDI else ENGLISH, latency(), "fallback", 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [one(*r) for r in zip(pdf["audio"], pdf["mime"], (x or "" for x in pdf["language"]), strict=True)]
+            yield pdf.assign(**{name: [r[k] for r in rows] for k, name in enumerate(made)})
+
+    schema = T.StructType([*kept, T.StructField("transcript", T.StringType()), T.StructField("spoken", T.StringType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("provider", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    return audio.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(run, schema)
+
+
 def answer_stream(queries: DataFrame, index: Index, sink, checkpoint: str):
     """Starts a stream that answers queries (query_id, query) batch by batch; sink(df, batch_id) takes the answers."""
     return queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(answer(df, index), n)).start()

@@ -224,3 +224,25 @@ def test_equal_scores_are_settled_in_the_whole_document():
     ranked = judging.rerank(asked, [make(1, filler, 0.0), make(2, filler + "the lighthouse of Velsao", 0.0), make(3, filler, 0.0)], 3)
     assert len({c.final for c in ranked}) == 1
     assert [c.chunk_ord for c in ranked] == [2, 1, 3]
+
+
+def test_transcripts_and_their_fallback(spark):
+    rows = [(1, b"abc", None, "unknown"), (2, b"", "audio/ogg", "hi-IN"), (3, None, None, None), (4, b"boom", None, "hi-IN"), (5, b"boom", None, "ta-IN")]
+    audio = spark.createDataFrame(rows, "id long, audio binary, mime string, language string")
+
+    def recognise(sound, mime, language):
+        if sound == b"boom":
+            raise OSError("no service")
+        return {"text": f"{len(sound)} {mime} {language}"} if sound else {"transcript": "none", "language_code": "xx", "confidence": 0.5}
+
+    got = {r.id: (r.transcript, r.spoken, r.provider, r.confidence) for r in speech.transcribe(audio, recognise, "svc").collect()}
+    assert got == {
+        1: ("3 audio/wav en-IN", "unknown", "svc", 0.95),
+        2: ("none", "xx", "svc", 0.5),
+        3: ("none", "xx", "svc", 0.5),
+        4: ("", "hi-IN", "fallback", 0.0),
+        5: ("", "en-IN", "fallback", 0.0),
+    }
+    none = speech.transcribe(audio).collect()
+    assert [(r.transcript, r.spoken, r.provider) for r in sorted(none)] == [("", "hi-IN" if r[3] == "hi-IN" else "en-IN", "fallback") for r in rows]
+    assert speech.transcribe(audio.limit(0)).count() == 0 and all(r.latency_ms >= 0 for r in none)
