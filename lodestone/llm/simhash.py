@@ -5,8 +5,9 @@ are close: the population counts of the four 16-bit parts of a word (two fingerp
 the counts of their parts differ in sum), or classes of the number of shingles (sets of similarity s differ in size by no
 more than 1/s). A stratum is cut into tiles of about TILE fingerprints, each one row. A tile meets the tiles of its own and
 its partner strata in numpy, with exclusive-or and bit counts; blocks whose population counts differ by more than the
-radius are skipped. A task holds one tile and at most TILES partner tiles of each partner stratum at a time, and hands on
-not all linked pairs but a spanning forest of them.
+radius are skipped. A task holds one home tile, or a few, and at most TILES partner tiles of each partner stratum at a time, and
+hands on not all linked pairs but a spanning forest of them. A tile is sent once for each home it meets: the more tiles
+a home has, the fewer copies are exchanged.
 
 Equal fingerprints, or equal shingle sets, are one node throughout, so thousands of copies of a text cost what one costs.
 """
@@ -30,9 +31,13 @@ from .components import components, forest
 
 SEED, SHINGLE, RADIUS, TILE, TILES, BITS = 42, 3, 2, 4096, 64, 64
 PARTS = 4
-#: For representatives(): the similarity is PART / WHOLE. Of 128 bits, sets at it differ in 19.4 on average, with a deviation
-#: of 4.1 (the worst case, sets of 4 and 5: 24 and 4.4): more than NEAR for one such pair in some 300, less often for others.
-PART, WHOLE, WORDS, NEAR, COMPARED = 4, 5, 2, 36, 512
+#: For representatives(): the similarity is PART / WHOLE. Of 256 bits, sets at it differ in 38.8 on average, with a deviation
+#: of 5.7 (the worst case, sets of 4 and 5: 48 and 6.2): more than NEAR for one such pair in some 2,000, less often for others.
+#: Unlike large sets differ in 128, with a deviation of 8, so chance does not chain up groups as the input grows; of unlike
+#: sets of two shingles (96 and 7.7) some 2 pairs in 10,000 are proposed.
+PART, WHOLE, WORDS, NEAR, COMPARED = 4, 5, 4, 68, 512
+#: Tiles of a home for representatives(); most 64-bit words of marks, which go to every task; marks are 1 bit in SPARSE at most while they fit.
+HOMES, MARKS, SPARSE = 16, 1 << 18, 32
 #: Classes of sizes: somewhat wider than the ratio that linked sets can have, so these are of neighbouring classes at most.
 CLASS = 1.26
 
@@ -114,11 +119,12 @@ def meet(home: np.ndarray, other: np.ndarray, radius: int, same: bool) -> Iterat
         yield order[a], orders[b]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, steps: list[int] | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, steps: list[int] | None = None, homes: int = 1) -> DataFrame:
     """Edges (u, v), a written table, between nodes that join all those whose words differ in radius or fewer bits.
 
     nodes: node (long), words (array of longs), s (stratum), or fp alone (then node and word, with the strata of its
-    parts). steps: the partner strata of a stratum, as differences of s, one direction of each pair.
+    parts). steps: the partner strata of a stratum, as differences of s, one direction of each pair. homes: how many
+    tiles are the home of one task.
     """
     if "fp" in nodes.columns:
         nodes, steps = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words"), _stratum(F.col("fp")).alias("s")), _steps(radius)
@@ -128,30 +134,32 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, steps: list[
     cut = nodes.join(F.broadcast(tiles), "s").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # A row for each tile: node and words of its members one after another.
     held = written(cut.groupBy("s", "t", "tiles").agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.concat(F.array("node"), "words"))).alias("members")), "tiles")
-    # Task (s, home, part) compares tile home with those tiles t of its own (t > home) and the partner strata of which t div TILES is part.
-    own = held.select("s", F.explode(F.expr("sequence(0, t)")).alias("home"), F.floor(F.col("t") / TILES).cast("int").alias("part"), (F.col("t") == F.col("home")).alias("here"), "n", "members")
-    # The home tile itself also goes to the tasks of its other parts.
+    # Task (s, home, part) compares the tiles of which t div homes is home with those tiles t of its own (t div homes > home) and the partner strata of which t div TILES is part.
+    at = F.expr(f"cast(t div {homes} as int)")
+    own = held.select("s", F.explode(F.sequence(F.lit(0), at)).alias("home"), F.floor(F.col("t") / TILES).cast("int").alias("part"), at.alias("at"), "n", "members")
+    own = own.select("s", "home", "part", (F.col("at") == F.col("home")).alias("here"), "n", "members")
+    # The home tiles themselves also go to the tasks of their other parts.
     again = F.expr(f"filter(sequence(0, {(most - 1) // TILES}), p -> p != t div {TILES})")
-    more = held.select("s", F.col("t").alias("home"), F.explode(again).alias("part"), F.lit(True).alias("here"), "n", "members")
+    more = held.select("s", at.alias("home"), F.explode(again).alias("part"), F.lit(True).alias("here"), "n", "members")
     probes = held.select(F.explode(F.array(*[F.col("s") + F.lit(d) for d in steps])).alias("s"), F.floor(F.col("t") / TILES).cast("int").alias("part"), "n", "members") if steps else None
     rows = own.unionByName(more.select(own.columns))
     if steps:
-        probes = probes.join(F.broadcast(tiles), "s").select("s", F.explode(F.expr("sequence(0, tiles - 1)")).alias("home"), "part", F.lit(False).alias("here"), "n", "members")
+        probes = probes.join(F.broadcast(tiles), "s").select("s", F.explode(F.expr(f"sequence(0, cast((tiles - 1) div {homes} as int))")).alias("home"), "part", F.lit(False).alias("here"), "n", "members")
         rows = rows.unionByName(probes)
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         here = group["here"].to_numpy()
         parts = [np.asarray(m).reshape(n, -1) for m, n in zip(group["members"], group["n"], strict=True)]
-        # A home tile comes in each of its tasks; it is compared with itself in the one that has its own part.
-        homes, guests = [p for p, h in zip(parts, here, strict=True) if h], [p for p, h in zip(parts, here, strict=True) if not h]
-        if not homes:
+        # Home tiles come in each of their tasks; they are compared with themselves in the one that has the part of the first.
+        mine, guests = [p for p, h in zip(parts, here, strict=True) if h], [p for p, h in zip(parts, here, strict=True) if not h]
+        if not mine:
             return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-        every = np.concatenate([homes[0], *guests])
-        starts = np.cumsum([len(homes[0]), *map(len, guests)])
+        every = np.concatenate([*mine, *guests])
+        starts = np.cumsum([sum(map(len, mine)), *map(len, guests)])
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            home = homes[0][:, 1:].view(np.uint64)
-            if key[2] == key[1] // TILES:
+            home = every[: starts[0], 1:].view(np.uint64)
+            if key[2] == key[1] * homes // TILES:
                 yield from meet(home, home, radius, True)
             for at, guest in zip(starts, guests, strict=False):
                 for a, b in meet(home, guest[:, 1:].view(np.uint64), radius, False):
@@ -253,16 +261,32 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": node[edges[:, 0]], "v": node[edges[:, 1]]})
 
 
+def _marked(df: DataFrame, told: Column, rows: DataFrame) -> DataFrame:
+    """Adds __marked: true where rows (__key, __same) has what told hashes to, and for a few more; told: the hash of df's key and text hash.
+
+    One bit of each row's hash, in MARKS words at most, goes to every task, whatever the input. Rows beyond what these
+    can hold mark more of df, up to all of it: none is lost, but less is spared of the exchange that follows.
+    """
+    words = min(MARKS, 1 << max(0, (rows.count() * SPARSE // 64).bit_length()))
+    word, bit = lambda h: F.pmod(h, F.lit(words)), lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    h = F.xxhash64("__key", "__same")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))
+    marks = rows.select(word(h).alias("__word"), one.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    there = F.call_function("shiftright", F.col("__bits"), bit(told)).bitwiseAND(1) == 1
+    return df.join(F.broadcast(marks), word(told) == F.col("__word"), "left").withColumn("__marked", F.coalesce(there, F.lit(False))).drop("__word", "__bits")
+
+
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = NEAR, tile: int = TILE, compared: int = COMPARED) -> DataFrame:
     """One row of each component of texts whose 5-word shingle sets have a similarity of 0.8 or more.
 
-    Fingerprints of 128 bits of the sets are compared in tiles, by classes of set size; they only propose. Texts proposed
+    Fingerprints of 256 bits of the sets are compared in tiles, by classes of set size; they only propose. Texts proposed
     together, along chains, are then compared by their exact sets, in tiles of about compared texts, and only pairs at the
     similarity are linked. Texts without words are copies of each other; a null text is an empty one.
 
     The row that stays is that of the least key (nulls last), and of the least text hash if several have it. Rows that
-    repeat key and text are told apart only where there are any. Columns of any name stay. Texts are exchanged once, for
-    the join with the rows that stay, and those of proposed groups once for each of their group's tiles.
+    repeat key and text are told apart only where there are any. Columns of any name stay. Texts are not exchanged as a
+    whole: only those of proposed groups, to be joined and once for each of their group's tiles, and those of rows that
+    go, each with the few others that share a mark with them.
     """
     same = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
@@ -270,14 +294,18 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__same").alias("same"))).alias("first")
     nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("size").alias("size"), first), "nodes")
     classes = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(CLASS)).cast("int")
-    found = _joined(links(nodes.select("node", "words", classes.alias("s")), radius, tile, steps=[1]))
+    found = _joined(links(nodes.select("node", "words", classes.alias("s")), radius, tile, steps=[1], homes=HOMES))
     near = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
     # One text of each node goes to the tiles of its group.
     tiles = near.groupBy("root").agg(F.ceil(F.count("*") / compared).cast("int").alias("tiles"))
     asked = near.join(tiles, "root").join(nodes.select("node", "first"), "node")
     asked = written(asked.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.col("first.key").alias("__asked"), F.col("first.same").alias("__as")), "asked")
-    # By key and text: of many copies of a text one row is joined, not all.
-    texts = df.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("text")).join(asked, F.col("__key").eqNullSafe(F.col("__asked")) & (F.col("__same") == F.col("__as"))).dropDuplicates(["node"])
+    plain = rows.groupBy("__key", "__same").count().filter("count > 1").isEmpty()
+    # By key and text: of many copies of a text one row is joined, not all. By merge, whatever the size: one plan, whose exchanges follow the input.
+    told = F.xxhash64(F.col(f"`{key}`"), same)
+    texts = _marked(df, told, asked.select(F.col("__asked").alias("__key"), F.col("__as").alias("__same"))).filter("__marked")
+    texts = texts.select(F.col(f"`{key}`").alias("__key"), same.alias("__same"), raw.alias("text")).join(asked.hint("merge"), F.col("__key").eqNullSafe(F.col("__asked")) & (F.col("__same") == F.col("__as")))
+    texts = texts if plain else texts.dropDuplicates(["node"])
     dealt = texts.select("node", "text", "root", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("t"))
     dealt = dealt.select("node", "text", "root", F.least("tile", "t").alias("one"), F.greatest("tile", "t").alias("other"))
     linked = components(dealt.groupBy("root", "one", "other").applyInPandas(_compare, "u long, v long"))
@@ -285,8 +313,13 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     # Rows of a node are reduced before the join, so copies are not joined one by one.
     least = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(least.select(F.col("first.key").alias("__key"), F.col("first.same").alias("__same")), "chosen")
-    twice = rows.join(chosen, rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"]), "left_semi").groupBy("__key", "__same").count().filter("count > 1").isEmpty()
-    for done in (rows, nodes, near, asked):
+    match = rows["__key"].eqNullSafe(chosen["__key"]) & (rows["__same"] == chosen["__same"])
+    gone = written(rows.select("__key", "__same").join(chosen, match, "left_anti").distinct(), "gone")
+    # Only rows with a mark are exchanged: all that go, and all that repeat key and text.
+    marked = gone if plain else written(gone.unionByName(rows.groupBy("__key", "__same").count().filter("count > 1").select("__key", "__same")), "marked")
+    held = _marked(df, told, marked)
+    for done in (rows, nodes, near, asked, chosen):
         drop_table(done)
-    kept = df.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (same == F.col("__same")), "left_semi")
-    return kept if twice else kept.withColumn("__same", same).dropDuplicates([key, "__same"]).drop("__same")
+    doubt = held.filter("__marked").withColumn("__is", same).join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__is") == F.col("__same")), "left_anti")
+    doubt = doubt if plain else doubt.dropDuplicates([key, "__is"])
+    return held.filter("not __marked").select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(doubt.select(*[F.col(f"`{c}`") for c in df.columns]))
