@@ -8,7 +8,7 @@ document, strategy and chunk, so it orders chunks as one global numbering would
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,158 +41,178 @@ def _chunks(df: DataFrame, strategy: str, suffix: str, title: Column | None = No
     )
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(text.strip(F.coalesce(c, F.lit(""))), rf"[{text.SPACE}]+"), lambda w: w != "")
+_space = re.compile("[" + re.sub(r"\\x\{(\w+)\}", r"\\u\1", text.SPACE) + "]+")
+_sentence = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", text.SENTENCE).replace(r"\z", r"\Z"))
+_blank_line = re.compile(r"\n\s*\n")
+_no_term = re.compile(rf"_+|[^\w{_space.pattern[1:-2]}]+")
+_header = re.compile(rf"#{{1,4}}{_space.pattern}|[A-Z0-9{_space.pattern[1:-2]}]{{4,40}}:\Z")
+_mark = re.compile(rf"#{{1,4}}{_space.pattern}")
+#: The members of text.SPACE, and what str.split() takes otherwise than it: all but the last are space to split() only.
+SPACES = "".join(chr(c) for c in range(0x10000) if _space.fullmatch(chr(c)))
+ODD = "\x1c\x1d\x1e\x1f\x85\ufeff"
+#: Documents taken out of Arrow at once, and characters of chunks handed on at once, so that a worker's memory follows neither a batch nor its task.
+ROWS, CHARACTERS = 256, 2_000_000
 
 
-def fixed(docs: DataFrame, size: int = 60, overlap: int = 15) -> DataFrame:
-    """Windows of size words, each overlap words into the one before; none after the window that reaches the end."""
-    step = max(1, size - overlap)
-    there = docs.withColumn("__w", _words(F.col("text"))).withColumn("__n", F.size("__w")).filter("__n > 0")
-    count = F.when(F.col("__n") <= size, 1).otherwise(F.ceil((F.col("__n") - size) / step) + 1).cast("int")
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("__w", (i * step + 1).cast("int"), size)))
-    cut = there.select("id", "ord", "title", "language", "source", "query", at.alias("chunk_index", "__part"))
-    return _chunks(cut.withColumns({"chunk": F.array_join("__part", " "), "words": F.size("__part")}), "fixed", "fixed")
+def _py_words(s: str) -> list[str]:
+    return [w for w in _space.split(s) if w] if any(c in s for c in ODD) else s.split()
 
 
-def sentence(docs: DataFrame, target: int = 2, most: int = 3, least_words: int = 15) -> DataFrame:
-    """Sentences in a row: a chunk is closed at target sentences with least_words words, at most sentences, or at the end."""
-    there = docs.withColumn("__s", text.sentences(F.col("text"))).filter(F.size("__s") > 0)
-    # The state has the closed chunks and the open one: its sentences joined, how many they are, and their words.
-    empty = F.struct(F.expr("cast(array() as array<struct<chunk:string,words:int>>)").alias("out"), F.lit("").alias("open"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+def _py_sentences(s: str) -> list[str]:
+    """text.sentences()."""
+    return [x for x in (y.strip(SPACES) for y in _sentence.findall(s)) if x]
+
 
-    def step(state: Column, s: Column) -> Column:
-        joined = F.when(state["k"] == 0, s).otherwise(F.concat(state["open"], F.lit(" "), s))
-        k, n = state["k"] + 1, state["n"] + F.size(_words(s))
-        close = ((k >= target) & (n >= least_words)) | (k >= most)
-        out = F.when(close, F.array_append(state["out"], F.struct(joined.alias("chunk"), n.alias("words")))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.when(close, "").otherwise(joined).alias("open"), F.when(close, 0).otherwise(k).alias("k"), F.when(close, 0).otherwise(n).alias("n"))
+def _by_document(docs: DataFrame, cut: Callable[[str, str], Iterable[tuple]], *more: str) -> DataFrame:
+    """The document's columns with chunk_index, chunk, words and what more names, all strings: a row for each piece that cut(text, title) gives."""
+    keep = ["id", "ord", "title", "language", "source", "query"]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * len(more)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                at, index, made, held = [], [], [], 0
+
+                def rows() -> pa.RecordBatch:
+                    columns = zip(*made) if made else [[] for _ in kinds]
+                    arrays = [pa.array(index, pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+                    return pa.RecordBatch.from_arrays([*part.select(keep).take(pa.array(at, pa.int64())).columns, *arrays], names=[*keep, "chunk_index", "chunk", "words", *more])
+
+                for i, (s, title) in enumerate(zip(part.column("text"), part.column("title"))):
+                    for k, piece in enumerate(cut(s.as_py() or "", title.as_py() or "")):
+                        at.append(i)
+                        index.append(k)
+                        made.append(piece)
+                        held += len(piece[0])
+                        if held >= CHARACTERS:
+                            yield rows()
+                            at, index, made, held = [], [], [], 0
+                yield rows()
 
-    def finish(state: Column) -> Column:
-        return F.when(state["k"] > 0, F.array_append(state["out"], F.struct(state["open"].alias("chunk"), state["n"].alias("words")))).otherwise(state["out"])
+    there = docs.select(*keep, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in there.select(*keep).schema.fields)
+    return there.mapInArrow(run, ", ".join([schema, "chunk_index int, chunk string, words int", *(f"{m} string" for m in more)]))
 
-    cut = there.select("id", "ord", "title", "language", "source", "query", F.posexplode(F.aggregate("__s", empty, step, finish)).alias("chunk_index", "__c"))
-    return _chunks(cut.select("*", "__c.chunk", "__c.words"), "sentence", "sent")
 
+def fixed_chunks(s: str, size: int = 60, overlap: int = 15) -> Iterator[tuple[str, int]]:
+    """(chunk, words) for each window."""
+    step, words = max(1, size - overlap), _py_words(s)
+    last = -(-max(0, len(words) - size) // step)
+    for k in range(last + 1 if words else 0):
+        part = words[k * step : k * step + size]
+        yield " ".join(part), len(part)
 
-_space = re.compile("[" + re.sub(r"\\x\{(\w+)\}", r"\\u\1", text.SPACE) + "]+")
-_sentence = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", text.SENTENCE).replace(r"\z", r"\Z"))
-_blank_line = re.compile(r"\n\s*\n")
 
+def fixed(docs: DataFrame, size: int = 60, overlap: int = 15) -> DataFrame:
+    """Windows of size words, each overlap words into the one before; none after the window that reaches the end.
+
+    In Python, by Arrow batches, as sentence() and metadata(): a column's array is copied as a whole for each piece that is
+    sliced from it or appended to it, so long documents would cost their length times their chunks.
+    """
+    return _chunks(_by_document(docs, lambda s, _: fixed_chunks(s, size, overlap)), "fixed", "fixed")
+
+
+def sentence_chunks(s: str, target: int = 2, most: int = 3, least_words: int = 15) -> Iterator[tuple[str, int]]:
+    """(chunk, words) for each chunk of sentences."""
+    held, words = [], 0
+    for x in _py_sentences(s):
+        held.append(x)
+        words += len(_py_words(x))
+        if len(held) >= target and words >= least_words or len(held) >= most:
+            yield " ".join(held), words
+            held, words = [], 0
+    if held:
+        yield " ".join(held), words
 
-def _py_words(s: str) -> list[str]:
-    return [w for w in _space.split(s) if w]
+
+def sentence(docs: DataFrame, target: int = 2, most: int = 3, least_words: int = 15) -> DataFrame:
+    """Sentences in a row: a chunk is closed at target sentences with least_words words, at most sentences, or at the end."""
+    return _chunks(_by_document(docs, lambda s, _: sentence_chunks(s, target, most, least_words)), "sentence", "sent")
 
 
 def _terms(s: str) -> set[str]:
     """Words of more than two letters or digits; all else, marks too, is cut out of them."""
-    return {w for w in _py_words("".join(c for c in s.lower() if c.isalpha() or c.isdecimal() or c.isnumeric() or _space.match(c))) if len(w) > 2}
+    return {w for w in _py_words(_no_term.sub("", s.lower())) if len(w) > 2}
 
 
-def semantic_units(s: str, transitions: tuple[str, ...], likeness: float, least: int) -> list[str]:
-    """Sentences of a paragraph in a row, parted where one opens with a transition or shares too few words with those before."""
-    out: list[str] = []
+def _units(s: str, transitions: tuple[str, ...], likeness: float, least: int) -> Iterator[tuple[str, int]]:
+    """semantic_units() with their words, counted as they come."""
     for paragraph in filter(None, (p.strip() for p in _blank_line.split(s))):
         found = [x.strip() for x in _sentence.findall(paragraph) if x.strip()]
         if len(found) <= 1:
-            out.append(paragraph)
+            yield paragraph, len(_py_words(paragraph))
             continue
-        unit, seen = [found[0]], _terms(found[0])
+        unit, seen, words = [found[0]], _terms(found[0]), len(_py_words(found[0]))
         for x in found[1:]:
-            terms = _terms(x)
-            both = len(seen & terms)
-            alike = both / (len(seen) + len(terms) - both) if seen and terms else 0.0
-            long_enough = sum(len(_py_words(u)) for u in unit) >= least
-            if long_enough and (x.lower().startswith(transitions) or alike < likeness):
-                out.append(" ".join(unit))
-                unit, seen = [x], terms
-            else:
-                unit.append(x)
-                seen = seen | terms
-        out.append(" ".join(unit))
-    return out
+            terms, n = _terms(x), len(_py_words(x))
+            if words >= least:
+                both = len(seen & terms)
+                alike = both / (len(seen) + len(terms) - both) if seen and terms else 0.0
+                if alike < likeness or x.lower().startswith(transitions):
+                    yield " ".join(unit), words
+                    unit, seen, words = [x], terms, n
+                    continue
+            unit.append(x)
+            seen |= terms
+            words += n
+        yield " ".join(unit), words
 
 
-def semantic_chunks(s: str, transitions: tuple[str, ...] = tuple(lexicons.TRANSITIONS), likeness: float = 0.05, least: int = 30, most: int = 80) -> list[str]:
-    """Units in a row, as long as they have no more than most words together; a longer unit is a chunk of its own."""
-    out: list[str] = []
+def semantic_units(s: str, transitions: tuple[str, ...], likeness: float, least: int) -> list[str]:
+    """Sentences of a paragraph in a row, parted where one opens with a transition or shares too few words with those before."""
+    return [unit for unit, _ in _units(s, transitions, likeness, least)]
+
+
+def _semantic(s: str, transitions: tuple[str, ...], likeness: float, least: int, most: int) -> Iterator[tuple[str, int]]:
     held: list[str] = []
     words = 0
-    for unit in semantic_units(s, transitions, likeness, least):
-        n = len(_py_words(unit))
+    for unit, n in _units(s, transitions, likeness, least):
         if held and words + n > most:
-            out.append(" ".join(held))
+            yield " ".join(held), words
             held, words = [], 0
         held.append(unit)
         words += n
-    return [*out, " ".join(held)] if held else out
+    if held:
+        yield " ".join(held), words
 
 
-def semantic(docs: DataFrame, likeness: float = 0.05, least: int = 30, most: int = 80, transitions: list[str] = lexicons.TRANSITIONS) -> DataFrame:
-    """By likeness of neighbouring sentences: two nested folds with a growing set of words, so in Python, by Arrow batches."""
-    keep = ["id", "ord", "title", "language", "source", "query"]
-    opening = tuple(transitions)
+def semantic_chunks(s: str, transitions: tuple[str, ...] = tuple(lexicons.TRANSITIONS), likeness: float = 0.05, least: int = 30, most: int = 80) -> list[str]:
+    """Units in a row, as long as they have no more than most words together; a longer unit is a chunk of its own."""
+    return [chunk for chunk, _ in _semantic(s, transitions, likeness, least, most)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, chunk, index, words = [], [], [], []
-            for i, s in enumerate(batch.column("text")):
-                for k, c in enumerate(semantic_chunks(s.as_py() or "", opening, likeness, least, most)):
-                    at.append(i)
-                    chunk.append(c)
-                    index.append(k)
-                    words.append(len(_py_words(c)))
-            rows = batch.select(keep).take(pa.array(at, pa.int64()))
-            made = [pa.array(index, pa.int32()), pa.array(chunk, pa.string()), pa.array(words, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*keep, "chunk_index", "chunk", "words"])
 
-    there = docs.select(*keep, "text")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in there.select(*keep).schema.fields)
-    return _chunks(there.mapInArrow(run, f"{schema}, chunk_index int, chunk string, words int"), "semantic", "sem")
+def semantic(docs: DataFrame, likeness: float = 0.05, least: int = 30, most: int = 80, transitions: list[str] = lexicons.TRANSITIONS) -> DataFrame:
+    """By likeness of neighbouring sentences: two nested folds with a growing set of words."""
+    opening = tuple(transitions)
+    return _chunks(_by_document(docs, lambda s, _: _semantic(s, opening, likeness, least, most)), "semantic", "sem")
+
+
+def metadata_chunks(s: str, title: str, size: int = 75, prefix: bool = True) -> Iterator[tuple[str, int, str]]:
+    """(chunk, words, section's title) for each piece."""
+    sections: list[tuple[str, list[str]]] = []
+    section, body = title, []
+    for line in filter(None, (x.strip(SPACES) for x in s.split("\n"))):
+        if _header.match(line):
+            if body:
+                sections.append((section, body))
+            section, body = _mark.sub("", line, count=1) if line[0] == "#" else line, []
+            section = section.removesuffix(":")
+        else:
+            body.append(line)
+    if body:
+        sections.append((section, body))
+    for section, body in sections or [(title, [s])]:
+        words = _py_words(" ".join(body))
+        for k in range(0, len(words), size):
+            part = words[k : k + size]
+            yield f"[{section}] {' '.join(part)}" if section and prefix else " ".join(part), len(part), section
 
 
 def metadata(docs: DataFrame, size: int = 75, prefix: bool = True) -> DataFrame:
     """Sections under headers, cut into pieces of size words that carry their section's title."""
-    space = text.SPACE
-    headers = rf"^#{{1,4}}[{space}]+|^[A-Z0-9{space}]{{4,40}}:\z"
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), text.strip), lambda s: s != "")
-    # One fold over the lines: each body line joins the section of the last header.
-    sections = "array<struct<title:string,body:string>>"
-    empty = F.struct(F.expr(f"cast(array() as {sections})").alias("out"), F.coalesce("title", F.lit("")).alias("title"), F.lit(None).cast("string").alias("body"))
-
-    def closed(state: Column) -> Column:
-        return F.when(state["body"].isNotNull(), F.array_append(state["out"], F.struct(state["title"].alias("title"), state["body"].alias("body")))).otherwise(state["out"])
-
-    def step(state: Column, line: Column) -> Column:
-        header = line.rlike(headers)
-        title = F.regexp_replace(F.regexp_replace(line, rf"^#{{1,4}}[{space}]+", ""), r":\z", "")
-        body = F.when(state["body"].isNull(), line).otherwise(F.concat(state["body"], F.lit(" "), line))
-        return F.struct(
-            F.when(header, closed(state)).otherwise(state["out"]).alias("out"),
-            F.when(header, title).otherwise(state["title"]).alias("title"),
-            F.when(header, F.lit(None).cast("string")).otherwise(body).alias("body"),
-        )
-
-    there = docs.withColumn("__f", F.aggregate(lines, empty, step, closed))
-    whole = F.array(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body")))
-    there = there.withColumn("__f", F.when(F.size("__f") == 0, whole).otherwise(F.col("__f")))
-
-    none = F.expr("cast(array() as array<struct<section:string,body:string,words:int>>)")
-
-    def pieces(section: Column) -> Column:
-        # The words are a lambda's variable, so each piece is sliced from them and does not split the section again.
-        def cut(words: Column) -> Column:
-            count = F.ceil(F.size(words) / size).cast("int")
-            parts = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(words, ((i - 1) * size + 1).cast("int"), size))
-            made = F.transform(parts, lambda p: F.struct(section["title"].alias("section"), F.array_join(p, " ").alias("body"), F.size(p).alias("words")))
-            return F.when(count > 0, made).otherwise(none)
-
-        return F.get(F.transform(F.array(_words(section["body"])), cut), F.lit(0))
-
-    cut = there.select("id", "ord", "title", "language", "source", "query", F.posexplode(F.flatten(F.transform("__f", pieces))).alias("chunk_index", "__p"))
-    titled = F.when((F.col("__p.section") != "") & F.lit(prefix), F.concat(F.lit("["), F.col("__p.section"), F.lit("] "), F.col("__p.body"))).otherwise(F.col("__p.body"))
-    cut = cut.withColumns({"chunk": titled, "words": F.col("__p.words"), "__title": F.when(F.col("__p.section") != "", F.col("__p.section")).otherwise(F.col("title"))})
-    return _chunks(cut, "metadata", "meta", F.col("__title"))
+    cut = _by_document(docs, lambda s, title: metadata_chunks(s, title, size, prefix), "section")
+    return _chunks(cut, "metadata", "meta", F.when(F.col("section") != "", F.col("section")).otherwise(F.col("title")))
 
 
 def chunk(docs: DataFrame, strategy: str = "all") -> DataFrame:
