@@ -28,3 +28,8 @@ def test_white_space_of_unicode_and_none_else(spark, strategy):
     """U+FEFF parts words; the separators U+001C to U+001F and U+0085, which Python's split() takes for space, do not."""
     docs = spark.createDataFrame([("d", 0, "T", "a﻿b\x1cc\x85d　e f", None, None, None), ("e", 1, "T", None, None, None, None)], DOC)
     assert [(r.doc_id, r.word_count) for r in chunking.chunk(docs, strategy).collect()] == [("d", 4)]
+
+
+def test_sentences_of_a_long_document(spark):
+    took, counts = seconds(spark, chunking.sentence, "Six words are in this sentence. " * (WORDS // 6))
+    assert counts == [18] * (WORDS // 18) + [6] and took < 15
