@@ -33,3 +33,9 @@ def test_white_space_of_unicode_and_none_else(spark, strategy):
 def test_sentences_of_a_long_document(spark):
     took, counts = seconds(spark, chunking.sentence, "Six words are in this sentence. " * (WORDS // 6))
     assert counts == [18] * (WORDS // 18) + [6] and took < 15
+
+
+def test_a_long_paragraph_of_like_sentences():
+    began = time.time()
+    found = chunking.semantic_chunks("alpha beta gamma delta epsilon zeta. " * 40_000)
+    assert len(found) == 1 and time.time() - began < 15
