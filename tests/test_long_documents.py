@@ -39,3 +39,8 @@ def test_a_long_paragraph_of_like_sentences():
     began = time.time()
     found = chunking.semantic_chunks("alpha beta gamma delta epsilon zeta. " * 40_000)
     assert len(found) == 1 and time.time() - began < 15
+
+
+def test_sections_of_a_long_document(spark):
+    took, counts = seconds(spark, chunking.metadata, "# Head\n" + "six words are in this line\n" * (WORDS // 6))
+    assert counts == [75] * (WORDS // 75) and took < 15
