@@ -6,6 +6,7 @@ form, as all here are, stay inside the JVM without it.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -63,6 +64,32 @@ def py_normalize(s: str) -> str:
     return " ".join(kept.split())
 
 
+_latin = bytes(ord(c.lower()) if c.isalnum() else 32 for c in map(chr, range(256)))
+_alnum, _high = re.compile(r"[^\W_]+"), re.compile("[\u0300-\U0010ffff]")
+
+
+@lru_cache(maxsize=1)
+def _marked() -> re.Pattern:
+    marks = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for c, before in zip(marks, [-1, *marks]) if c != before + 1]
+    ends = [c for c, after in zip(marks, [*marks[1:], -1]) if c + 1 != after]
+    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+    return re.compile(rf"(?:[^\W_]+|[{ranges}]+)+")
+
+
+def py_runs(s: str, compose: bool = False, marks: bool = True) -> list[str]:
+    """The words of normalize(), or with marks parting them, of many texts: Latin ones by a table of bytes."""
+    if not compose or s.isascii():
+        try:
+            return s.encode("latin-1").translate(_latin).decode("latin-1").split()
+        except UnicodeEncodeError:
+            pass
+    s = s.lower()
+    s = unicodedata.normalize("NFKC", s) if compose else s
+    # Below U+0300 there are no marks.
+    return (_marked() if marks and _high.search(s) else _alnum).findall(s)
+
+
 def squeezed(normal: Column) -> Column:
     """A normalised text without its spaces."""
     return F.regexp_replace(normal, r"[^\p{L}\p{M}\p{N}]", "")

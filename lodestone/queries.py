@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,12 +186,8 @@ def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.groupBy("query_id").agg(best).select("query_id", F.col("b.label").alias("label"), (-F.col("b.v")).alias("votes"))
 
 
-def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, retrieval.Bm25]:
-    """Chunks and their postings, which are kept: the terms, and the next query of this session, are made of the same ones."""
-    chunks = chunking.fixed(docs(spark, sf_dir))
-    index = retrieval.bm25_build(chunks)
-    postings = index.postings.persist(StorageLevel.MEMORY_AND_DISK)
-    return chunks, retrieval.Bm25(postings, retrieval.bm25_terms(postings, index.stats), index.stats)
+def chunk_index(spark: SparkSession, sf_dir: str) -> retrieval.Bm25:
+    return retrieval.bm25_build(chunking.fixed(docs(spark, sf_dir)))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,17 +206,17 @@ BM25 = f"""{FIXED}, t as (select chunk_ord, {sql_tokens('text', lexicons.BM25_ST
 
 @query(f"with {BM25} select term, chunk_ord, tf from p")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_index(spark, sf_dir)[1].postings.select("term", "chunk_ord", "tf")
+    return chunk_index(spark, sf_dir).postings.select("term", "chunk_ord", "tf")
 
 
 @query(f"with {BM25} select term, df, round(idf, 6) as idf from te")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_index(spark, sf_dir)[1].terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return chunk_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {BM25} select query_id, chunk_ord, round(score, 4) as score from bm25")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.bm25_search(chunk_index(spark, sf_dir)[1], questions(spark, sf_dir))
+    found = retrieval.bm25_search(chunk_index(spark, sf_dir), questions(spark, sf_dir))
     return found.select("query_id", "chunk_ord", F.round("score", 4).alias("score"))
 
 
@@ -234,10 +229,8 @@ SHARED = f"""sh as (select query_id, chunk_ord, count(*) as score from q join p
 
 
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = chunk_index(spark, sf_dir)[1], questions(spark, sf_dir)
-    words = asked.select("query_id", F.explode(F.array_distinct(text.tokens(text.normalize(F.col("text"))))).alias("term"))
-    shared = words.join(index.postings, "term").groupBy("query_id", "chunk_ord").agg(F.count("*").cast("double").alias("score"))
-    other = retrieval.top(shared, "query_id", F.col("score"), "chunk_ord", 20)
+    index, asked = chunk_index(spark, sf_dir), questions(spark, sf_dir)
+    other = retrieval.shared_words(index.chunks, asked)
     return retrieval.rrf(other, retrieval.bm25_search(index, asked), top_k=20)
 
 
