@@ -51,3 +51,21 @@ def test_chunks_without_rows(spark):
     assert none.stats.first() == (0, 1.0) and none.postings.count() == none.terms.count() == 0
     assert retrieval.bm25_search(none, spark.createDataFrame([(1, "goa")], "query_id long, text string")).count() == 0
     assert chunking.fixed(spark.createDataFrame([], "id string, ord long, title string, text string, language string, source string, query string")).count() == 0
+
+
+def test_search_by_chunks_and_by_postings(spark, data, index):
+    asked = engine.questions(spark, data).unionByName(spark.createDataFrame([(900, "the the goa goa goa"), (901, ""), (902, None)], "query_id long, text string"))
+    got = retrieval.bm25_search(index, asked)
+    assert "chunk_ord" not in "".join(re.findall(r"hashpartitioning\((.*?)\)", plan(got)))
+    want = retrieval.bm25_search(retrieval.Bm25(index.postings, index.terms, index.stats), asked)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_ord, round(r.score, 8)) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
+def test_queries_block_by_block(index, monkeypatch):
+    chunks, asked = index.chunks.limit(300), [(1, "the", 1.0), (2, "the", 1.0), (2, "that", 0.5), (3, "nowhere", 1.0)]
+    whole = sorted(map(tuple, retrieval.scan(chunks, asked, 5, []).collect()))
+    assert {r[0] for r in whole} == {1, 2} and retrieval.scan(chunks, [], 5, []).count() == 0
+    for name in ("QUERIES", "CELLS", "MERGED", "OUT"):
+        monkeypatch.setattr(retrieval, name, 1)
+    assert sorted(map(tuple, retrieval.scan(chunks, asked, 5, []).collect())) == whole
