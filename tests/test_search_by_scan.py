@@ -69,3 +69,7 @@ def test_queries_block_by_block(index, monkeypatch):
     for name in ("QUERIES", "CELLS", "MERGED", "OUT"):
         monkeypatch.setattr(retrieval, name, 1)
     assert sorted(map(tuple, retrieval.scan(chunks, asked, 5, []).collect())) == whole
+
+
+def test_postings_are_not_exchanged(index):
+    assert "Exchange" not in plan(index.postings)
