@@ -73,3 +73,7 @@ def test_queries_block_by_block(index, monkeypatch):
 
 def test_postings_are_not_exchanged(index):
     assert "Exchange" not in plan(index.postings)
+
+
+def test_frequencies_are_exchanged_by_term_alone(index):
+    assert re.findall(r"hashpartitioning\(([^#]*)#", plan(index.terms)) == ["term"]
