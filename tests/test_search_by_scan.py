@@ -77,3 +77,9 @@ def test_postings_are_not_exchanged(index):
 
 def test_frequencies_are_exchanged_by_term_alone(index):
     assert re.findall(r"hashpartitioning\(([^#]*)#", plan(index.terms)) == ["term"]
+
+
+@pytest.mark.parametrize("name", ["strategy_filter", "dedupe_parent"])
+def test_queries_over_the_fusion(spark, data, name):
+    found = engine.QUERIES[name](spark, data)
+    assert "Generate" not in plan(found) and found.count()
