@@ -26,3 +26,37 @@ def test_vectors_of_mixed_scripts():
         assert np.array_equal(embedding.vectors([t])[0], embedding.vectors([*texts, t])[-1])
     for t in ("a", "hello_you", "𝒜_b", "x" * 40_000):
         assert embedding.hashes([t], embedding.PAIR_SEED)[0] == embedding.py_hash32(t, embedding.PAIR_SEED)
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def table(spark, v, name, kind="double"):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], f"{name} long, embedding array<{kind}>").coalesce(1)
+
+
+def test_a_task_hands_on_the_best_of_all_its_batches(spark, small_batches, monkeypatch):
+    rng = np.random.default_rng(1)
+    index, asked = table(spark, rng.normal(size=(500, 8)), "chunk_ord"), table(spark, rng.normal(size=(9, 8)), "query_id")
+    monkeypatch.setattr(retrieval, "top", lambda df, *_: df)
+    assert retrieval.knn(index, asked, 4).count() == 9 * 4
+
+
+def test_neighbours_are_those_of_all_products(spark, monkeypatch):
+    """Also with many equal vectors and with ones so near that 32 bits part them wrongly, in small slices and blocks."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 16))
+    v = np.concatenate([v, v, v[:5] + 1e-9 * rng.normal(size=(5, 16)), v[:20] * (1 + 3e-7), np.zeros((3, 16))])
+    q = np.concatenate([v[:6], rng.normal(size=(5, 16))])
+    for name, limit in (("CHUNKS", 4), ("CELLS", 50), ("MERGED", 7), ("BLOCK_NUMBERS", 64)):
+        monkeypatch.setattr(retrieval, name, limit)
+    got = sorted((r.query_id, r["rank"], r.chunk_ord, r.score) for r in retrieval.knn(table(spark, v, "chunk_ord"), table(spark, q, "query_id"), 7).collect())
+    want = []
+    for a, row in enumerate((q @ v.T).astype(np.float32).astype(float)):
+        best = sorted(range(len(v)), key=lambda i: (-row[i], i))[:7]
+        want += [(a, n + 1, i, row[i]) for n, i in enumerate(best)]
+    assert got == want
