@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +75,22 @@ class Index:
 
 
 def candidates(queries: DataFrame, index: Index, strategy: str | None = None) -> DataFrame:
-    """(query_id, query, chunk_ord, …): up to HEAD fused candidates of each query, with their chunks and documents."""
+    """(query_id, query, chunk_ord, …): up to HEAD fused candidates of each query, with their chunks and documents.
+
+    chunk_ord tells strategy and document, so text is joined to the head alone. The head is kept, as it is asked for twice; where
+    it is small, it goes to the chunks and documents, which then are not exchanged but for the candidates' own.
+    """
     dense = retrieval.knn(index.vectors, embedding.embed(queries, "query"), TOP)
     wide = retrieval.expand(queries, "query")
     sparse = retrieval.bm25_search(index.bm25, wide, "expanded", k=TOP)
-    fused = retrieval.rrf(dense, sparse, top_k=TOP)
-    chunks = index.chunks.select("chunk_ord", "doc_id", F.coalesce("title", F.lit("")).alias("title"), "text", "language", "strategy")
-    there = retrieval.strategy_filter(fused.join(chunks, "chunk_ord"), strategy)
-    head = _head(there)
-    docs = index.docs.select(F.col("id").alias("doc_id"), F.col("text").alias("parent_text"))
-    return head.join(docs, "doc_id").join(queries, "query_id")
+    names = F.array(*map(F.lit, chunking.STRATEGIES))
+    fused = retrieval.rrf(dense, sparse, top_k=TOP).withColumn("strategy", F.get(names, (F.floor(F.col("chunk_ord") / chunking.INDEX) % len(chunking.STRATEGIES)).cast("int")))
+    head = _head(retrieval.strategy_filter(fused, strategy)).persist(StorageLevel.MEMORY_AND_DISK)
+    small = F.broadcast if queries.count() * HEAD <= retrieval.BROADCAST_ROWS else lambda df: df
+    chunks = index.chunks.select("chunk_ord", "doc_id", F.coalesce("title", F.lit("")).alias("title"), "text", "language")
+    wanted = head.select(F.floor(F.col("chunk_ord") / (4 * chunking.INDEX)).alias("ord")).distinct()
+    docs = index.docs.join(small(wanted), "ord", "left_semi").select(F.col("id").alias("doc_id"), F.col("text").alias("parent_text"))
+    return chunks.join(small(head), "chunk_ord").join(docs, "doc_id").join(queries, "query_id")
 
 
 def _head(fused: DataFrame) -> DataFrame:

@@ -60,3 +60,21 @@ def test_neighbours_are_those_of_all_products(spark, monkeypatch):
         best = sorted(range(len(v)), key=lambda i: (-row[i], i))[:7]
         want += [(a, n + 1, i, row[i]) for n, i in enumerate(best)]
     assert got == want
+
+
+def test_text_goes_to_the_candidates(spark, data):
+    asked = engine.questions(spark, data).withColumnRenamed("text", "query")
+    found = answer.candidates(asked, engine.corpus_index(spark, data))
+    assert "BroadcastHashJoin [chunk_ord#" in plan(found)
+    rows = found.select("query_id", "chunk_ord", "strategy", "place", F.length("text").alias("n")).collect()
+    assert rows and {r.strategy for r in rows} == {"fixed"} and max(r.place for r in rows) == answer.HEAD
+
+
+def test_candidates_of_one_strategy_and_without_broadcast(spark, data, monkeypatch):
+    docs = engine.docs(spark, data).limit(40)
+    index, asked = answer.Index.build(docs), engine.questions(spark, data).limit(5).withColumnRenamed("text", "query")
+    rows = lambda: sorted(map(tuple, answer.candidates(asked, index, "sentence").select("query_id", "place", "chunk_ord", "strategy", "text", "parent_text").collect()))
+    want = rows()
+    assert want and {r[3] for r in want} == {"sentence"}
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert rows() == want
