@@ -78,3 +78,8 @@ def test_candidates_of_one_strategy_and_without_broadcast(spark, data, monkeypat
     assert want and {r[3] for r in want} == {"sentence"}
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
     assert rows() == want
+
+
+def test_searches_of_an_answer_are_run_once(spark, data):
+    asked = engine.questions(spark, data).withColumnRenamed("text", "query")
+    assert "InMemoryTableScan" in plan(answer.answer(asked, engine.corpus_index(spark, data)))
