@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import STRATEGIES
 
 
-def search(chunks: DataFrame, words: str | None = None, strategy: str | None = None) -> DataFrame:
-    """Chunks of a strategy (any if blank or "all") with words in text or title, in any case; % and _ are characters like others."""
+def search(chunks: DataFrame, words: str | list[str] | None = None, strategy: str | None = None) -> DataFrame:
+    """Chunks of a strategy (any if blank or "all") with words (any of a list) in text or title, in any case; % and _ are characters like others."""
     if strategy and strategy != "all":
         chunks = chunks.filter(F.col("strategy") == strategy)
-    if words:
-        chunks = chunks.filter(F.contains(F.lower("text"), F.lit(words.lower())) | F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(words.lower())))
+    wanted = [w for w in ([words] if isinstance(words, str) else words or []) if w]
+    if wanted:
+        has = [F.contains(F.lower(c), F.lit(w.lower())) for w in wanted for c in (F.col("text"), F.coalesce("title", F.lit("")))]
+        chunks = chunks.filter(reduce(or_, has))
     return chunks
 
 

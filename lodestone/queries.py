@@ -348,8 +348,7 @@ def explore_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {FIXED} select chunk_ord, text from fixed where contains(lower(text), 'tion***') or contains(lower(text), '%%%') or contains(lower('Document ' || doc_id), '%%%')")
 def explore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.fixed(docs(spark, sf_dir))
-    return explorer.search(chunks, "TION***").unionByName(explorer.search(chunks, "%%%")).select("chunk_ord", "text").distinct()
+    return explorer.search(chunking.fixed(docs(spark, sf_dir)), ["TION***", "%%%"]).select("chunk_ord", "text")
 
 
 @query("select user_id, min(ts) as started, max(ts) as ended, count(*) as frames from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by user_id order by ts, event_id) >= ts - interval 1 hour and lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour > ts then 0 else 1 end as fresh from (select * from events where value * 12.0 > 600.0))) group by user_id, k")
