@@ -47,14 +47,18 @@ class Block:
                 counts[at[w], i] = k
         return at, counts
 
-    def measure(self, source: str) -> tuple[np.ndarray, np.ndarray]:
-        """passed and confidence of each answer."""
-        ws = [w for w in source.split(" ") if w]
-        here = [self.word[w] for w in set(ws) if w in self.word]
-        there = [self.pair[p] for p in set(zip(ws, ws[1:])) if p in self.pair]
-        t, c = self.all[here].sum(axis=0) / np.maximum(self.n, 1), self.part[here].sum(axis=0) / np.maximum(self.m, 1)
+    def measure(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """passed and confidence of each answer in a source of these words."""
+        source = " ".join(ws)
+        here = [self.word[w] for w in self.word.keys() & set(ws)]
+        there = [self.pair[p] for p in self.pair.keys() & set(zip(ws, ws[1:]))]
+        known = self.all[here].sum(axis=0)
+        t, c = known / np.maximum(self.n, 1), self.part[here].sum(axis=0) / np.maximum(self.m, 1)
         near = (c >= 0.8) & (self.pairs[there].sum(axis=0) > 0) & (self.m > 0)
-        held = np.fromiter((a in source for a in self.answers), dtype=bool, count=len(self.answers))
+        # Where a source has an answer, it has all its words but the first and last, which may be parts of longer ones.
+        held = np.zeros(len(self.answers), dtype=bool)
+        for i in np.flatnonzero(known >= self.n - 2).tolist():
+            held[i] = self.answers[i] in source
         conf = np.select(
             [held, t >= 0.85, self.m == 0, near & (self.m <= 3), near],
             [1.0, t, t, np.minimum(0.98, 0.65 * c + 0.35 * t), np.minimum(0.98, 0.60 * c + 0.40 * t)],
@@ -68,7 +72,7 @@ def every_pair(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, doc_id, passed, confidence) for each row of answers (item_id, text) with each row of sources (doc_id, text)."""
     item, doc = answers.schema["item_id"].dataType, sources.schema["doc_id"].dataType
     held = answers.select("item_id", text.normalize(F.col("text")).alias("a")).collect()
-    there = sources.select("doc_id", text.normalize(F.col("text")).alias("s"))
+    there = sources.select("doc_id", F.col("text").alias("s"))
     cut = [held[i : i + BLOCK] for i in range(0, len(held), BLOCK)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +80,9 @@ def every_pair(answers: DataFrame, sources: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
+                told = [text.py_runs(s.as_py() or "") for s in part.column("s")]
                 for ids, block in blocks:
-                    found = [block.measure(s.as_py()) for s in part.column("s")]
+                    found = [block.measure(ws) for ws in told]
                     k = len(ids)
                     docs = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), k)))
                     items = ids.take(pa.array(np.tile(np.arange(k), part.num_rows)))
